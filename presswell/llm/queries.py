@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presswell.llm import best, copies, history, lines
+from presswell.llm import best, copies, history, lines, spans
 from presswell.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,5 +29,13 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return best.best_records(read_table(spark, d, "article_copies"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_pairs(read_table(spark, d, "documents"))
+
+
+def p10_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_coverage(read_table(spark, d, "documents"))
+
+
 def llm_queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("p") and k[1].isdigit()}
