@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presswell.llm import best, copies, history, lines, spans
+from presswell.llm import best, copies, history, lines, mixing, packing, spans
 from presswell.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,22 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return best.best_records(read_table(spark, d, "article_copies"))
 
 
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packed(read_table(spark, d, "documents"))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(packing.packed(read_table(spark, d, "documents")))
+
+
+def p9_selection(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixed(read_table(spark, d, "documents"), read_table(spark, d, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture_report(read_table(spark, d, "documents"), read_table(spark, d, "mix_targets"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_pairs(read_table(spark, d, "documents"))
 
