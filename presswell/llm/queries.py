@@ -7,12 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presswell.llm import best, copies, history, lines, mixing, packing, spans
+from presswell.llm import best, copies, history, lines, mixing, packing, residue, spans
 from presswell.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue_articles(read_table(spark, d, "articles"))
+
+
+def p1_why(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(read_table(spark, d, "articles"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return history.seen_before(read_table(spark, d, "articles"))
 
