@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presswell.llm import best, copies, history, lines, mixing, packing, residue, spans
+from presswell.llm import best, copies, history, langid, lines, mixing, packing, residue, spans
 from presswell.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,15 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return copies.copy_members(read_table(spark, d, "articles"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    articles = read_table(spark, d, "articles")
+    return langid.mislabelled(articles).join(residue.residue_articles(articles), "article_id", "left_anti")
+
+
+def p5_languages(spark: SparkSession, d: str) -> DataFrame:
+    return langid.languages(read_table(spark, d, "articles"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return lines.repeated_lines(read_table(spark, d, "articles"))
 
