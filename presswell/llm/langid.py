@@ -27,8 +27,9 @@ ROUNDS = 6
 #: A piece is left undecided when its best language leads by less than so much, or lies farther from it than this cosine.
 LEAD = 0.04
 LEAST = 0.08
-#: Letters below which a piece decides nothing.
+#: Letters below which a training piece is left out, and below which a sentence decides only where no longer piece does.
 LETTERS = 4
+SHORT = 25
 
 
 def _table() -> np.ndarray:
@@ -155,10 +156,11 @@ def split(title: str | None, summary: str | None) -> list[str]:
     return out
 
 
-def stretches(cosines: np.ndarray) -> list[tuple[int, float]]:
+def stretches(cosines: np.ndarray, letters: np.ndarray) -> list[tuple[int, float]]:
     """(language, confidence) of the maximal stretches of one text, from the cosines of its pieces.
 
-    Undecided pieces belong to the piece before them, or to the next where none is before. Confidence is the mean share of
+    letters: the letters of each piece. Undecided pieces belong to the piece before them, or to the next where none is
+    before; a short one never opens a stretch beside longer ones. Confidence is the mean share of
     the best language in the sum of a piece's cosines; [] if no piece decides.
     """
     order = np.argsort(cosines, axis=1)
@@ -166,6 +168,8 @@ def stretches(cosines: np.ndarray) -> list[tuple[int, float]]:
     at = np.arange(len(cosines))
     top = cosines[at, best]
     sure = (top >= LEAST) & (top - cosines[at, second] >= LEAD)
+    if (sure & (letters >= SHORT)).any():
+        sure &= letters >= SHORT
     runs: list[list] = []
     for i in np.flatnonzero(sure):
         share = float(top[i] / max(float(cosines[i].sum()), 1e-9))
@@ -205,9 +209,10 @@ def _classifier(model: Model):
             step = 4000
             for i in range(0, len(pieces), step):
                 scores[i : i + step] = model.cosines(pieces[i : i + step])
+            letters = np.fromiter((sum(map(str.isalpha, p)) for p in pieces), np.int64, len(pieces))
             columns: list[list] = [[], [], [], [], [], []]
             for i, code, where in zip(ids, codes, at, strict=True):
-                found = stretches(scores[where]) if where else []
+                found = stretches(scores[where], letters[where]) if where else []
                 wrong = len(found) > 1 or (len(found) == 1 and LANGUAGES[found[0][0]] != code)
                 for n, (k, sure) in enumerate(found or [(-1, 0.0)], 1):
                     for c, v in zip(columns, (i, n, LANGUAGES[k] if k >= 0 else None, sure, len(found), wrong), strict=True):
