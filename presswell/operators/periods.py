@@ -1,0 +1,72 @@
+"""Calendar days and reporting periods, on the driver and as columns."""
+
+from __future__ import annotations
+
+import re
+from dataclasses import dataclass
+from datetime import date, datetime, time, timedelta, timezone
+from zoneinfo import ZoneInfo
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Years between the two calendars; default length and zone of a period.
+ROC_OFFSET, DAYS, ZONE = 1911, 14, "Asia/Taipei"
+
+
+def calendar_day(text: str) -> tuple[date, str]:
+    """A day and its calendar: YYYYMMDD or YYYY-M-D are Gregorian; YYYMMDD, YYY-M-D and the 民國 prefix count years from 1911."""
+    raw = text.strip()
+    roc = raw.startswith("民國")
+    m = re.fullmatch(r"(\d{3,4})(\d{2})(\d{2})|(\d{1,4})([-/])(\d{1,2})\5(\d{1,2})", raw.removeprefix("民國").strip())
+    if not m:
+        raise ValueError(f"no calendar day: {text!r}")
+    y, mo, d = (m[1], m[2], m[3]) if m[1] else (m[4], m[6], m[7])
+    if m[1] and roc and len(y) != 3 or not m[1] and not roc and len(y) not in (3, 4):
+        raise ValueError(f"no calendar day: {text!r}")
+    kind = "roc" if roc or len(y) == 3 else "gregorian"
+    if kind == "roc" and int(y) < 1:
+        raise ValueError(f"no calendar day: {text!r}")
+    return date(int(y) + (ROC_OFFSET if kind == "roc" else 0), int(mo), int(d)), kind
+
+
+def calendar_day_column(c: Column) -> Column:
+    """As calendar_day, null for what is no day."""
+    plain = F.regexp_replace(F.trim(c), "^民國 *", "")
+    parts = F.regexp_extract(plain, "^(\\d{3,4})[-/]?(\\d{1,2})[-/]?(\\d{1,2})$", 0)
+    y = F.regexp_extract(plain, "^(\\d{3,4}?)(?:[-/]\\d{1,2}[-/]\\d{1,2}|\\d{4})$", 1)
+    md = F.regexp_extract(plain, "^\\d{3,4}?((?:[-/]\\d{1,2}[-/]\\d{1,2}|\\d{4}))$", 1)
+    mo = F.when(md.rlike("^\\d{4}$"), F.substring(md, 1, 2)).otherwise(F.regexp_extract(md, "^[-/](\\d+)", 1))
+    d = F.when(md.rlike("^\\d{4}$"), F.substring(md, 3, 2)).otherwise(F.regexp_extract(md, "(\\d+)$", 1))
+    year = F.expr("0") + y.try_cast("int") + F.when(F.length(y) == 3, ROC_OFFSET).otherwise(0)
+    return F.when(parts != "", F.try_make_date(year, mo.try_cast("int"), d.try_cast("int"))) if hasattr(F, "try_make_date") else F.when(parts != "", F.to_date(F.try_to_timestamp(F.format_string("%04d-%02d-%02d", year, mo.try_cast("int"), d.try_cast("int")), F.lit("yyyy-MM-dd"))))
+
+
+@dataclass(frozen=True)
+class Period:
+    """Whole local days as a half-open span of instants."""
+
+    since: datetime
+    until: datetime
+    first: date
+    last: date
+    mode: str
+
+
+def resolve_period(since: str | None = None, until: str | None = None, days: int | None = None, now: datetime | None = None, zone: str = ZONE) -> Period:
+    """The period of explicit days, both included, or of the last `days` days up to today; never both."""
+    tz = ZoneInfo(zone)
+    if since is not None or until is not None:
+        if not since or not until or days is not None:
+            raise ValueError("give both ends, and no number of days")
+        first, last, mode = calendar_day(since)[0], calendar_day(until)[0], "fixed"
+    else:
+        n = DAYS if days is None else days
+        if n < 0:
+            raise ValueError("days must not be negative")
+        last = (now.astimezone(tz) if now else datetime.now(tz)).date()
+        first, mode = last - timedelta(days=n), "rolling"
+    if first > last:
+        raise ValueError("the period ends before it begins")
+    at = lambda d: datetime.combine(d, time.min, tzinfo=tz).astimezone(timezone.utc)
+    return Period(at(first), at(last + timedelta(days=1)), first, last, mode)
