@@ -17,8 +17,10 @@ LENGTH = 4 * rc.HALF
 HOT = 200
 #: Two anchors of one diagonal that are at most so far apart have touching keys, so what lies between is equal too.
 STEP = 2 * rc.HALF
-#: Characters beyond an anchor's key that the exact check reads on either side.
-REACH = 8 * LENGTH
+#: Characters beyond an anchor's key that the exact check reads on either side: enough to decide on LENGTH, or to find
+#: where a stretch ends (between two anchors of one text lie fewer).
+DECIDE = LENGTH - 2 * rc.HALF
+REACH = 4 * LENGTH
 
 
 def _text_hash(c: Column) -> Column:
@@ -62,16 +64,20 @@ def _meetings(rows: DataFrame) -> DataFrame:
     return x.join(y, "key").filter("a < b").select("a", "b", (F.col("pa") - F.col("pb")).alias("diagonal"), "pa")
 
 
-def _edge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The REACH characters before and after each stretch."""
-    for batch in batches:
-        columns: list[list] = [[], [], [], [], []]
-        for d, ranges, text in zip(batch.column("doc").to_pylist(), batch.column("ranges").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            for r in ranges:
-                f, t = r["f"], r["t"]
-                for c, v in zip(columns, (d, f, t, text[max(0, f - REACH) : f], text[t : t + REACH]), strict=True):
-                    c.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string()), strict=True)], ["doc", "f", "t", "before", "after"])
+def _edge_rows(reach: int):
+    """The `reach` characters before and after each stretch."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns: list[list] = [[], [], [], [], []]
+            for d, ranges, text in zip(batch.column("doc").to_pylist(), batch.column("ranges").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                for r in ranges:
+                    f, t = r["f"], r["t"]
+                    for c, v in zip(columns, (d, f, t, text[max(0, f - reach) : f], text[t : t + reach]), strict=True):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string()), strict=True)], ["doc", "f", "t", "before", "after"])
+
+    return cut
 
 
 def _common(x: list[str], y: list[str], backwards: bool) -> np.ndarray:
@@ -100,13 +106,13 @@ def _grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([c["a"], c["b"], pa.array(f - left), pa.array(f - g - left), pa.array(e - f + left + right)], ["a", "b", "a_start", "b_start", "length"])
 
 
-def shared_stretches(documents: DataFrame, hot: int = HOT) -> DataFrame:
+def shared_stretches(documents: DataFrame, hot: int = HOT, reach: int = REACH) -> DataFrame:
     """a, b, a_start, b_start, length: stretches of LENGTH characters or more that two different texts share, a < b.
 
     Texts are named by recompression, round by round, in one narrow pass; anchors carry the hash of the 100 characters
     around them. Only keys that occur in several places go on. Keys that very many places share are replaced by keys of
     every whole window around them, so that a group holds true pairs only; nothing is capped. Anchors of one diagonal whose
-    keys touch form a chain, and the characters beyond its ends are compared exactly. Of equal texts, the one of lowest id
+    keys touch form a chain, and up to `reach` characters beyond its ends are compared exactly. Of equal texts, the one of lowest id
     stands for all (text_classes). Null, empty and short texts share nothing; a repeated doc_id with the same text is one
     document. Places count characters from 0.
     """
@@ -121,17 +127,17 @@ def shared_stretches(documents: DataFrame, hot: int = HOT) -> DataFrame:
         places = met.filter(F.col("n") > hot).groupBy("doc").agg(F.collect_set("pos").alias("places"))
         windows = places.join(single, F.col("doc") == F.col("doc_id")).select("doc", "places", "text").mapInArrow(_window_rows, "key long, doc long, pos int").distinct()
         usual = usual.unionByName(_meetings(windows))
-    return _verified(usual.distinct(), single)
+    return _verified(usual.distinct(), single, reach)
 
 
-def _verified(meetings: DataFrame, texts: DataFrame) -> DataFrame:
+def _verified(meetings: DataFrame, texts: DataFrame, reach: int) -> DataFrame:
     line = "partition by a, b, diagonal order by pa"
     broken = meetings.withColumn("new", F.expr(f"case when pa - lag(pa) over ({line}) <= {STEP} then 0 else 1 end"))
     chained = broken.withColumn("chain", F.expr(f"sum(new) over ({line})")).groupBy("a", "b", "diagonal", "chain")
     chains = work_table(chained.agg((F.min("pa") - rc.HALF).alias("f"), (F.max("pa") + rc.HALF).alias("t")).drop("chain"), "chains")
     ends = chains.select(F.inline(F.array(F.struct(F.col("a").alias("doc"), "f", "t"), F.struct(F.col("b").alias("doc"), (F.col("f") - F.col("diagonal")).alias("f"), (F.col("t") - F.col("diagonal")).alias("t")))))
     ranges = ends.distinct().groupBy("doc").agg(F.collect_list(F.struct("f", "t")).alias("ranges"))
-    edges = work_table(ranges.join(texts, F.col("doc") == F.col("doc_id")).select("doc", "ranges", "text").mapInArrow(_edge_rows, "doc long, f int, t int, before string, after string"), "edges")
+    edges = work_table(ranges.join(texts, F.col("doc") == F.col("doc_id")).select("doc", "ranges", "text").mapInArrow(_edge_rows(reach), "doc long, f int, t int, before string, after string"), "edges")
     a = edges.select(*[F.col(c).alias(f"a_{c}") for c in edges.columns])
     b = edges.select(*[F.col(c).alias(f"b_{c}") for c in edges.columns])
     both = chains.join(a, (F.col("a") == F.col("a_doc")) & (F.col("f") == F.col("a_f")) & (F.col("t") == F.col("a_t"))).join(b, (F.col("b") == F.col("b_doc")) & (F.col("f") - F.col("diagonal") == F.col("b_f")) & (F.col("t") - F.col("diagonal") == F.col("b_t")))
@@ -146,7 +152,7 @@ def shared_pairs(documents: DataFrame, hot: int = HOT) -> DataFrame:
     """
     docs = documents.filter(F.col("doc_id").isNotNull())
     classes = work_table(text_classes(docs), "classes")
-    pairs = shared_stretches(docs, hot).select("a", "b").distinct()
+    pairs = shared_stretches(docs, hot, DECIDE).select("a", "b").distinct()
     # a class of one member is its own representative
     of = lambda side: classes.select(F.col("rep").alias(side), F.col("doc_id").alias(f"{side}_member"))
     wide = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_member", "a").alias("x"), F.coalesce("b_member", "b").alias("y"))
