@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from presswell.functions.text import casefold
 from presswell.tables import work_table
 
 #: Labelled exemplars. What editors leave, what servers say, what scriptless pages ask for.
@@ -85,7 +88,7 @@ An error occurred
 The requested resource could not be located on this server
 The requested URL was not found on this server
 Error establishing a database connection
-Fatal error Uncaught Exception in /srv/portal/view.php on line|srv portal view php line stack trace
+Fatal error Uncaught Exception in on line|srv portal view php stack trace
 Your session has expired
 Please sign in again
 Just a moment
@@ -176,9 +179,9 @@ Waarschuwing kwetsbaarheid verholpen bij de verwerking van in de software
 Komunikat usunięto lukę w obsłudze w oprogramowaniu
 Meddelande sårbarhet åtgärdad i hanteringen av i programvaran
 """
-_NAME = r"[\p{L}_$][\w.$]*(?: ?\| ?[\w.]+)?"
+_NAME = r"[^\W\d][\w.$]*(?: ?\| ?[\w.]+)?"
 #: Template marks, filled or not; fixed values.
-MARK = "(?i)(?:" + "|".join((r"\{\{[^{}\n]{0,80}\}\}", r"\{%[^%\n]{0,80}%\}", r"[$#]\{[^{}\n]{0,80}\}", r"<%[^>\n]{0,80}%>", r"<\?[^>\n]{0,80}\?>", r"\[\[[^\[\]\n]{0,80}\]\]", rf"%\({_NAME}\)s", rf"%%{_NAME}%%", rf"@@{_NAME}@@", rf"__[\p{{L}}$][\w.$]*?(?: ?\| ?[\w.]+?)?__", rf"\{{{_NAME}\}}", rf"\[(?!(?:sic|pdf|video|audio|live|update|foto|photo|podcast|eng?|de|fr|es|it|nl|pl|sv)\]){_NAME}\]")) + ")"
+MARK = re.compile("|".join((r"\{\{[^{}\n]{0,80}\}\}", r"\{%[^%\n]{0,80}%\}", r"[$#]\{[^{}\n]{0,80}\}", r"<%[^>\n]{0,80}%>", r"<\?[^>\n]{0,80}\?>", r"\[\[[^\[\]\n]{0,80}\]\]", rf"%\({_NAME}\)s", rf"%%{_NAME}%%", rf"@@{_NAME}@@", r"__[^\W\d_][\w.$]*?(?: ?\| ?[\w.]+?)?__", rf"\{{{_NAME}\}}", rf"\[(?!(?:sic|pdf|video|audio|live|update|foto|photo|podcast|eng?|de|fr|es|it|nl|pl|sv)\]){_NAME}\]")), re.IGNORECASE)
 #: Share of an exemplar's TF-IDF weight that a passage must contain, and share of the passage's words that the exemplar must cover.
 CONTAINED = 0.8
 COVERED = 0.6
@@ -188,8 +191,15 @@ FILLED = 0.75
 REPORTED = 0.6
 
 
+_WORD = re.compile(r"[^\W_]+")
+_RUN = re.compile(r"x{2,}")
+_SENTENCES = re.compile(r"[\n\r]+|(?<=[.!?…])\s+|(?<=[.!?…]\])\s+")
+
+
 def _words(text: str) -> list[str]:
-    return re.findall(r"[^\W\d_]+", text.upper().lower())
+    """The folded words of text; those with a digit in them (ids, years) are left out, and a run of x is one word."""
+    words = [w for w in _WORD.findall(text.upper().lower()) if w.isalpha()]
+    return ["xx" if w[0] == "x" and _RUN.fullmatch(w) else w for w in words]
 
 
 def exemplars() -> list[tuple[int, str, set[str], set[str]]]:
@@ -206,59 +216,77 @@ def exemplars() -> list[tuple[int, str, set[str], set[str]]]:
     return out
 
 
-def _tokens(c: Column) -> Column:
-    """The words of c; those with a digit in them (ids, years) are left out, and a run of x is one word."""
-    words = F.filter(F.split(casefold(c), "[^\\p{L}\\p{N}]+"), lambda w: w.rlike("^\\p{L}+$"))
-    return F.transform(words, lambda w: F.when(w.rlike("^x{2,}$"), F.lit("xx")).otherwise(w))
+def passages(title: str | None, summary: str | None) -> list[str]:
+    """The title, its sentences and those of the summary; equal ones once."""
+    parts = [title or "", *_SENTENCES.split(title or ""), *_SENTENCES.split(summary or "")]
+    return list(dict.fromkeys(p for p in parts if p and not p.isspace()))
 
 
-def passages(articles: DataFrame) -> DataFrame:
-    """article_id, passage: the title and the sentences of the summary; equal passages of one article once."""
-    sentences = F.split(F.coalesce(F.col("summary"), F.lit("")), "[\\n\\r]+|(?<=[.!?…]\\]?)\\s+")
-    parts = F.array_distinct(F.filter(F.concat(F.array("title"), F.split(F.coalesce(F.col("title"), F.lit("")), "[\\n\\r]+|(?<=[.!?…]\\]?)\\s+"), sentences), lambda s: s.isNotNull() & (s != "")))
-    return articles.select("article_id", F.explode(parts).alias("passage"))
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per batch, the passage frequencies of the exemplars' words, and the passages that some exemplar may explain.
 
+    A passage is retrieved through the inverted index word -> exemplars: it has a mark, or an exemplar covers enough of its
+    words. What no exemplar covers can't be residue whatever the weights, so they are not needed yet.
+    """
+    index: dict[str, list[int]] = {}
+    for i, kind, _, cover in exemplars():
+        if kind != "report":
+            for w in cover:
+                index.setdefault(w, []).append(i)
+    known = {w for _, _, core, _ in exemplars() for w in core}
+    for b in batches:
+        df: Counter = Counter()
+        ids, texts, marks = [], [], []
+        for i, title, summary in zip(b.column("article_id").to_pylist(), b.column("title").to_pylist(), b.column("summary").to_pylist(), strict=True):
+            for p in passages(title, summary):
+                words = _words(p)
+                df[""] += 1
+                df.update(known.intersection(words))
+                marked = any(c in p for c in "{<%@[_#") and MARK.search(p) is not None
+                if marked or _covered(words, index):
+                    ids.append(i)
+                    texts.append(p)
+                    marks.append(marked)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([*df, *[None] * len(ids)], pa.string()), pa.array([*df.values(), *[None] * len(ids)], pa.int64()), pa.array([*[None] * len(df), *ids], pa.int64()), pa.array([*[None] * len(df), *texts], pa.string()), pa.array([*[None] * len(df), *marks], pa.bool_())],
+            ["word", "n", "article_id", "passage", "marked"],
+        )
 
-def inverted_index(df: dict[str, int], total: int) -> tuple[list[tuple], list[tuple]]:
-    """Postings (word, exemplar) for retrieval, and the weights (exemplar, kind, words, covering words, weights, whole weight).
 
-    Only the rarest words of an exemplar are posted: those without which no passage can contain the wanted share of its
-    weight. The index has as many rows as the exemplar list has words, whatever the corpus.
-    """
+def _covered(words: list[str], index: dict[str, list[int]]) -> bool:
+    met = [index[w] for w in words if w in index]
+    if len(met) < COVERED * len(words) or not met:
+        return False
+    hits = Counter(e for es in met for e in es)
+    return max(hits.values()) >= COVERED * len(words)
+
+
+def weighted(df: dict[str, int], total: int) -> list[tuple]:
+    """(exemplar, kind, words, covering words, weights, whole weight), a row per exemplar whatever the corpus."""
     idf = lambda w: math.log(1 + total / (1 + df.get(w, 0)))
-    postings, weights = [], []
-    for i, kind, core, cover in exemplars():
-        whole = sum(map(idf, core))
-        left = whole * (1 - {"report": REPORTED, "words": 0}.get(kind, CONTAINED)) + 1e-9
-        for w in sorted(core, key=lambda w: (-idf(w), w)):
-            postings.append((w, i))
-            if (left := left - idf(w)) < 0:
-                break
-        weights.append((i, kind, sorted(core), sorted(cover), {w: idf(w) for w in core}, whole))
-    return postings, weights
+    return [(i, kind, sorted(core), sorted(cover), {w: idf(w) for w in core}, sum(map(idf, core))) for i, kind, core, cover in exemplars()]
+
+
+@F.udf(T.ArrayType(T.StringType()), useArrow=True)
+def _passage_words(text: str, marked: bool) -> list[str]:
+    return _words(MARK.sub(" ", text) if marked else text)
 
 
 def residue(articles: DataFrame) -> DataFrame:
     """article_id, passage, reason: passages that are template residue, filler, an error page or a script notice.
 
-    Document frequencies of the exemplars' words come from the passages of all articles. A passage is retrieved through
-    its rare words, then scored: the exemplar's TF-IDF weight it contains, and the share of its own words the exemplar
-    covers. A passage with a template mark counts unless it contains a report on such marks. Null or empty titles and
+    One narrow pass counts the passage frequencies of the exemplars' words over all articles and retrieves passages
+    through an inverted index of the exemplars. Those are scored: the exemplar's TF-IDF weight a passage contains, and the
+    share of its own words the exemplar covers. A passage with a template mark counts unless it contains a report on such marks. Null or empty titles and
     summaries have no passages; a null article_id keeps its rows.
     """
     spark = articles.sparkSession
-    vocabulary = sorted({w for _, _, core, _ in exemplars() for w in core})
-    known = F.array(*map(F.lit, vocabulary))
-    counts = passages(articles).select(F.explode(F.concat(F.array(F.lit("")), F.array_intersect(_tokens(F.col("passage")), known))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    df = {r["w"]: r["n"] for r in counts.collect()}  # one row per word of the exemplars
-    postings, weights = inverted_index(df, df.get("", 0))
-    rare = F.array(*map(F.lit, sorted({w for w, i in postings})))
-    marked = F.col("passage").rlike(MARK)
-    bare = F.when(marked, F.regexp_replace("passage", MARK, " ")).otherwise(F.col("passage"))
-    found = passages(articles).withColumn("marked", marked).withColumn("words", _tokens(bare)).filter(F.col("marked") | F.arrays_overlap("words", rare))
+    scan = work_table(articles.select("article_id", "title", "summary").mapInArrow(_scan, "word string, n long, article_id long, passage string, marked boolean"), "residue")
+    df = {r["word"]: r["n"] for r in scan.filter("word is not null").groupBy("word").agg(F.sum("n").alias("n")).collect()}  # one row per word of the exemplars
+    found = scan.filter("passage is not null").select("article_id", "passage", "marked", _passage_words("passage", "marked").alias("words"))
     found = work_table(found, "retrieved")
-    index = spark.createDataFrame(postings, "word string, exemplar int")
-    table = spark.createDataFrame(weights, "exemplar int, kind string, core array<string>, cover array<string>, weight map<string,double>, whole double")
+    table = spark.createDataFrame(weighted(df, df.get("", 0)), "exemplar int, kind string, core array<string>, cover array<string>, weight map<string,double>, whole double")
+    index = table.select("exemplar", F.explode(F.array_union("core", "cover")).alias("word"))
     met = found.select("article_id", "passage", "marked", "words", F.explode(F.array_distinct("words")).alias("word")).join(F.broadcast(index), "word").drop("word").distinct()
     scored = met.join(F.broadcast(table), "exemplar")
     inside = F.aggregate(F.array_intersect("core", "words"), F.lit(0.0), lambda acc, w: acc + F.element_at("weight", w)) / F.col("whole")
