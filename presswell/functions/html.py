@@ -45,7 +45,7 @@ class Node:
 
     def text(self) -> str:
         """Its stripped strings, joined by blanks."""
-        return " ".join(" ".join(s.split()) for s in self.strings() if s.strip())
+        return " ".join(s.strip() for s in self.strings() if s.strip())
 
     def get(self, name: str) -> str:
         return self.attrs.get(name, "")
@@ -101,11 +101,11 @@ def parse(markup: str) -> Node:
 
 
 def plain_text(markup: str | None) -> str:
-    """The text of a fragment: entities resolved, tags dropped, blanks collapsed."""
+    """The text of a fragment: entities resolved, tags dropped, strings stripped and joined by blanks."""
     if not markup:
         return ""
     text = entities.unescape(markup)
-    return parse(text).text() if "<" in text else " ".join(text.split())
+    return parse(text).text() if "<" in text else text.strip()
 
 
 _ATTRIBUTE = re.compile(r"\[\s*([\w:-]+)\s*(?:([~*^$|]?=)\s*(?:\"([^\"]*)\"|'([^']*)'|([^\]\s]+))\s*(i)?)?\s*\]")

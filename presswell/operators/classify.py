@@ -47,34 +47,50 @@ def classify(articles: DataFrame, lexicon: Lexicon = DEFAULT, title: str = "titl
     where its topic is new. A null title or summary counts as empty. Each keyword is one literal pattern in one
     projection, so the scan stays a single narrow stage; the text is normalised once.
     """
-    parts = F.concat_ws(" ", F.coalesce(F.col(title), F.lit("")), F.coalesce(F.col(summary), F.lit("")))
-    df = articles.withColumn(TEXT, normalised(parts))
+    df = articles.withColumn(TEXT, _whole(title, summary))
     text = F.col(TEXT)
-    hits = df.withColumn("_hits", F.array(*[F.array_compact(F.array(*[F.when(contains(text, k), F.lit(k)) for k in r.keywords])) for r in lexicon.rules]))
-    hit = lambda i: F.size(F.col("_hits")[i]) > 0
-    emitted: list[Column] = []
+    hits = F.array(*[F.array_compact(F.array(*[F.when(contains(text, k), F.lit(k)) for k in r.keywords])) for r in lexicon.rules])
+    signs = [_any(text, x.words) for r in lexicon.rules for x in r.signals]
+    met = [contains(text, a.word) & _some([contains(text, c) for c in a.contexts]) for a in lexicon.acronyms]
+    df = df.withColumns({"_hits": hits, "_signs": F.array(*signs, F.lit(False)), "_met": F.array(*met, F.lit(False))})
+    topics = _ordered(_emitted(lexicon, F.col("_hits"), F.col("_signs")))
+    df = df.withColumn("_topics", topics)
+    fresh = lambda i, a: F.col("_met")[i] & ~F.array_contains("_topics", a.topic) & ~_some([F.col("_met")[j] for j, b in enumerate(lexicon.acronyms[:i]) if b.topic == a.topic])
     score: Column = F.lit(0)
     for i, r in enumerate(lexicon.rules):
-        score = score + F.when(hit(i), F.lit(r.weight) + F.least(F.size(F.col("_hits")[i]) - 1, F.lit(2))).otherwise(0)
-        emitted += [F.when(hit(i), F.lit(t)) for t in r.topics]
-        signs = [_any(text, s.words) for s in r.signals]
-        emitted += [F.when(hit(i) & s, F.lit(r.signals[j].topic)) for j, s in enumerate(signs)]
+        n = F.size(F.col("_hits")[i])
+        score = score + F.when(n > 0, F.lit(r.weight) + F.least(n - 1, F.lit(2))).otherwise(0)
+    for i, a in enumerate(lexicon.acronyms):
+        score = score + F.when(fresh(i, a), a.score).otherwise(0)
+    short = lambda f: [F.when(F.col("_met")[i], F.lit(f(a))) for i, a in enumerate(lexicon.acronyms)]
+    added, shown = (F.array_compact(F.array(*short(f), F.lit(None).cast("string"))) for f in (lambda a: a.topic, lambda a: a.word.upper()))
+    out = df.withColumns({"topics": F.array_distinct(F.concat("_topics", added)), "keywords": F.array_distinct(F.concat(F.flatten("_hits"), shown)), "score": score})
+    return out.drop("_hits", "_signs", "_met", "_topics", TEXT).withColumn("confidence", confidence(F.col("score")))
+
+
+def _whole(title: str, summary: str) -> Column:
+    return normalised(F.concat_ws(" ", F.coalesce(F.col(title), F.lit("")), F.coalesce(F.col(summary), F.lit(""))))
+
+
+def _some(values: list[Column]) -> Column:
+    out = F.lit(False)
+    for v in values:
+        out = out | v
+    return out
+
+
+def _emitted(lexicon: Lexicon, hits: Column, signs: Column) -> list[Column]:
+    """The topics that the rules' hits and the text's signals lead to, in rule order."""
+    out, at = [], 0
+    for i, r in enumerate(lexicon.rules):
+        hit = F.size(hits[i]) > 0
+        out += [F.when(hit, F.lit(t)) for t in r.topics]
+        own = [signs[at + j] for j in range(len(r.signals))]
+        out += [F.when(hit & x, F.lit(r.signals[j].topic)) for j, x in enumerate(own)]
         if r.default:
-            none = ~signs[0]
-            for s in signs[1:]:
-                none = none & ~s
-            emitted.append(F.when(hit(i) & none, F.lit(r.default)))
-    df = hits.withColumn("topics", _ordered(emitted)).withColumn("score", score)
-    shown = F.flatten("_hits")
-    for a in lexicon.acronyms:
-        context = F.lit(False)
-        for c in a.contexts:
-            context = context | contains(text, c)
-        met = contains(text, a.word) & context
-        fresh = met & ~F.array_contains("topics", a.topic)
-        df = df.withColumns({"score": F.col("score") + F.when(fresh, a.score).otherwise(0), "topics": F.when(fresh, F.array_append("topics", F.lit(a.topic))).otherwise(F.col("topics"))})
-        shown = F.concat(shown, F.when(met, F.array(F.lit(a.word.upper()))).otherwise(F.array().cast("array<string>")))
-    return df.withColumn("keywords", F.array_distinct(shown)).withColumn("confidence", confidence(F.col("score"))).drop("_hits", TEXT)
+            out.append(F.when(hit & ~_some(own), F.lit(r.default)))
+        at += len(own)
+    return out
 
 
 def _met(text: Column, language: Column, t: Term) -> Column:
@@ -88,38 +104,38 @@ def overlay(articles: DataFrame, profile: Overlay, title: str = "title", summary
     Per topic, the strongest term of each concept counts, terms of the penalty list take one away, a topic found before
     adds one, and an excluded term silences the topic. Term languages are matched with the article's language column.
     """
-    parts = F.concat_ws(" ", F.coalesce(F.col(title), F.lit("")), F.coalesce(F.col(summary), F.lit("")))
-    df = articles.withColumn(TEXT, normalised(parts))
-    text, language = F.col(TEXT), F.col("language")
-    names, scores, words, kept = [], [], [], F.lit(False)
-    for t in (t for t in profile.topics if t.enabled):
+    topics = [t for t in profile.topics if t.enabled]
+    terms: dict[Term, int] = {}
+    for t in topics:
+        for term in (*t.keywords, *t.synonyms, *t.penalties, *t.excludes):
+            terms.setdefault(term, len(terms))
+    df = articles.withColumn(TEXT, _whole(title, summary))
+    # every term is tried once; what follows only looks the answers up
+    df = df.withColumn("_hit", F.array(*[_met(F.col(TEXT), F.col("language"), t) for t in terms], F.lit(False)))
+    hit = lambda t: F.col("_hit")[terms[t]]
+    none = F.array().cast("array<string>")
+    found = []
+    for t in topics:
         concepts: dict[str, list[Column]] = {}
-        hits = []
-        for term, weight in [*((k, k.weight) for k in t.keywords), *((s, 1.0) for s in t.synonyms)]:
-            met = _met(text, language, term)
-            concepts.setdefault(term.concept or term.text, []).append(F.when(met, F.lit(weight)).otherwise(0.0))
-            hits.append(F.when(met, F.lit(term.text)))
+        for term, weight in [*((k, k.weight) for k in t.keywords), *((x, 1.0) for x in t.synonyms)]:
+            concepts.setdefault(term.concept or term.text, []).append(F.when(hit(term), F.lit(weight)).otherwise(0.0))
         total: Column = F.lit(0.0)
         for values in concepts.values():
             total = total + (F.greatest(*values) if len(values) > 1 else values[0])
         for p in t.penalties:
-            total = total - F.when(_met(text, language, p), 1.0).otherwise(0.0)
+            total = total - F.when(hit(p), 1.0).otherwise(0.0)
         origin = t.legacy or t.name
         inherited = F.array_contains("topics", origin) if t.inherit and origin in TOPICS else F.lit(False)
         total = total + F.when(inherited, 1.0).otherwise(0.0)
-        out = F.lit(False)
-        for e in t.excludes:
-            out = out | _met(text, language, e)
-        on = ~out & (total > 0)
-        names.append(F.when(on, F.lit(t.name)))
-        scores.append(F.when(on, total))
-        words.append(F.when(on, F.array_compact(F.array(*hits))) if hits else F.lit(None).cast("array<string>"))
-        kept = kept | (on & inherited)
-    none = F.array().cast("array<string>")
-    matched = _ordered(names)
-    best = F.greatest(F.lit(0.0), *[F.coalesce(s, F.lit(0.0)) for s in scores], F.when(kept, F.col("score").cast("double")).otherwise(0.0))
-    df = df.withColumns({"_topics": matched, "_score": F.when(F.size(matched) > 0, F.greatest(F.lit(1.0), best)).otherwise(0.0).cast("int"), "_words": F.array_distinct(F.concat(F.col("keywords"), *[F.coalesce(w, none) for w in words]))})
-    return df.withColumns({"topics": F.col("_topics"), "score": F.col("_score"), "keywords": F.when(F.size("_topics") > 0, F.col("_words")).otherwise(none), "confidence": confidence(F.col("_score"))}).drop("_topics", "_score", "_words", TEXT)
+        words = F.array_compact(F.array(*[F.when(hit(x), F.lit(x.text)) for x in (*t.keywords, *t.synonyms)], F.lit(None).cast("string")))
+        found.append(F.struct(F.lit(t.name).alias("name"), F.when(_some([hit(e) for e in t.excludes]), 0.0).otherwise(total).alias("total"), inherited.alias("kept"), words.alias("words")))
+    df = df.withColumn("_found", F.filter(F.array(*found), lambda f: f["total"] > 0))
+    any_found = F.size("_found") > 0
+    best = F.greatest(F.lit(1.0), F.array_max(F.transform("_found", lambda f: f["total"])), F.when(F.exists("_found", lambda f: f["kept"]), F.col("score").cast("double")).otherwise(0.0))
+    names = F.transform("_found", lambda f: f["name"])
+    words = F.array_distinct(F.concat("keywords", F.flatten(F.transform("_found", lambda f: f["words"]))))
+    out = df.withColumns({"topics": names, "score": F.when(any_found, best).otherwise(0.0).cast("int"), "keywords": F.when(any_found, words).otherwise(none)})
+    return out.drop("_hit", "_found", TEXT).withColumn("confidence", confidence(F.col("score")))
 
 
 #: Kinds of content and the words that show them, the first match counting.

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from presswell.functions.html import plain_text as plain
+from presswell.functions.text import strip
 from presswell.functions.urls import allowed_url
 
 RSS_ITEM = "struct<title:string,link:string,guid:string,pubDate:string,date:string,description:string,encoded:string>"
@@ -30,7 +31,7 @@ def plain_text(values: pd.Series) -> pd.Series:
 
 def text_of(c: Column) -> Column:
     """Plain text; only values with markup or entities reach Python."""
-    return F.when(c.rlike("[<&]"), plain_text(c)).otherwise(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), "\\s+", " ")))
+    return F.when(c.rlike("[<&]"), plain_text(c)).otherwise(strip(F.coalesce(c, F.lit(""))))
 
 
 def looks_like_json(body: Column) -> Column:
