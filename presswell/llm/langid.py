@@ -156,30 +156,38 @@ def split(title: str | None, summary: str | None) -> list[str]:
     return out
 
 
-def stretches(cosines: np.ndarray, letters: np.ndarray) -> list[tuple[int, float]]:
-    """(language, confidence) of the maximal stretches of one text, from the cosines of its pieces.
+def decisions(cosines: np.ndarray) -> tuple[list[int], list[bool], list[float]]:
+    """Per piece: its nearest language, whether it decides, and that language's share in the sum of the cosines."""
+    if not len(cosines):
+        return [], [], []
+    best = cosines.argmax(axis=1)
+    two = np.partition(cosines, -2, axis=1)[:, -2:]
+    sure = (two[:, 1] >= LEAST) & (two[:, 1] - two[:, 0] >= LEAD)
+    return best.tolist(), sure.tolist(), (two[:, 1] / np.maximum(cosines.sum(axis=1), 1e-9)).tolist()
 
-    letters: the letters of each piece. Undecided pieces belong to the piece before them, or to the next where none is
-    before; a short one never opens a stretch beside longer ones. Confidence is the mean share of
-    the best language in the sum of a piece's cosines; [] if no piece decides.
+
+def stretches(pieces: list[tuple[int, bool, float, bool]]) -> list[tuple[int, float]]:
+    """(language, confidence) of the maximal stretches of one text, from (language, sure, share, long) of its pieces.
+
+    Undecided pieces belong to the piece before them, or to the next where none is before; a short one never opens a
+    stretch beside longer ones. Confidence is the mean share of a stretch's pieces; [] if no piece decides.
     """
-    order = np.argsort(cosines, axis=1)
-    best, second = order[:, -1], order[:, -2]
-    at = np.arange(len(cosines))
-    top = cosines[at, best]
-    sure = (top >= LEAST) & (top - cosines[at, second] >= LEAD)
-    if (sure & (letters >= SHORT)).any():
-        sure &= letters >= SHORT
-    runs: list[list] = []
-    for i in np.flatnonzero(sure):
-        share = float(top[i] / max(float(cosines[i].sum()), 1e-9))
-        if runs and runs[-1][0] == best[i]:
+    deciding = [p for p in pieces if p[1]]
+    if any(p[3] for p in deciding):
+        deciding = [p for p in deciding if p[3]]
+    runs: list[tuple[int, list[float]]] = []
+    for k, _, share, _ in deciding:
+        if runs and runs[-1][0] == k:
             runs[-1][1].append(share)
         else:
-            runs.append([int(best[i]), [share]])
+            runs.append((k, [share]))
     return [(k, round(sum(v) / len(v), 4)) for k, v in runs]
 
 
+def _long(piece: str) -> bool:
+    return sum(map(str.isalpha, piece[: 4 * SHORT])) >= SHORT
+
+
 def label(code: Column) -> Column:
     """The two-letter code that a language field means, whatever its spelling; null if it means none of LANGUAGES."""
     base = F.lower(F.regexp_extract(F.trim(code), "^([\\p{L}]+)", 1))
@@ -209,10 +217,10 @@ def _classifier(model: Model):
             step = 4000
             for i in range(0, len(pieces), step):
                 scores[i : i + step] = model.cosines(pieces[i : i + step])
-            letters = np.fromiter((sum(map(str.isalpha, p)) for p in pieces), np.int64, len(pieces))
+            known_pieces = list(zip(*decisions(scores), map(_long, pieces), strict=True))
             columns: list[list] = [[], [], [], [], [], []]
             for i, code, where in zip(ids, codes, at, strict=True):
-                found = stretches(scores[where], letters[where]) if where else []
+                found = stretches([known_pieces[k] for k in where])
                 wrong = len(found) > 1 or (len(found) == 1 and LANGUAGES[found[0][0]] != code)
                 for n, (k, sure) in enumerate(found or [(-1, 0.0)], 1):
                     for c, v in zip(columns, (i, n, LANGUAGES[k] if k >= 0 else None, sure, len(found), wrong), strict=True):
