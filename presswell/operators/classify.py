@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +23,9 @@ def contains(text: Column, word: str) -> Column:
 
 
 def whole_word(text: Column, plain: str) -> Column:
-    return text.rlike(f"(?U)(?<!\\w){re.escape(plain)}(?!\\w)")
+    """Whether plain stands in the text as a word: most texts fail the plain search, and the pattern begins with the word itself."""
+    word = re.escape(plain)
+    return F.contains(text, F.lit(plain)) & text.rlike(f"(?U){word}(?!\\w)(?<!\\w{word})")
 
 
 def _any(text: Column, words: tuple[str, ...]) -> Column:
@@ -52,9 +55,9 @@ def classify(articles: DataFrame, lexicon: Lexicon = DEFAULT, title: str = "titl
     hits = F.array(*[F.array_compact(F.array(*[F.when(contains(text, k), F.lit(k)) for k in r.keywords])) for r in lexicon.rules])
     signs = [_any(text, x.words) for r in lexicon.rules for x in r.signals]
     met = [contains(text, a.word) & _some([contains(text, c) for c in a.contexts]) for a in lexicon.acronyms]
-    df = df.withColumns({"_hits": hits, "_signs": F.array(*signs, F.lit(False)), "_met": F.array(*met, F.lit(False))})
+    df = _computed(df, _hits=hits, _signs=F.array(*signs, F.lit(False)), _met=F.array(*met, F.lit(False)))
     topics = _ordered(_emitted(lexicon, F.col("_hits"), F.col("_signs")))
-    df = df.withColumn("_topics", topics)
+    df = _computed(df, _topics=topics)
     fresh = lambda i, a: F.col("_met")[i] & ~F.array_contains("_topics", a.topic) & ~_some([F.col("_met")[j] for j, b in enumerate(lexicon.acronyms[:i]) if b.topic == a.topic])
     score: Column = F.lit(0)
     for i, r in enumerate(lexicon.rules):
@@ -64,10 +67,16 @@ def classify(articles: DataFrame, lexicon: Lexicon = DEFAULT, title: str = "titl
         score = score + F.when(fresh(i, a), a.score).otherwise(0)
     short = lambda f: [F.when(F.col("_met")[i], F.lit(f(a))) for i, a in enumerate(lexicon.acronyms)]
     added, shown = (F.array_compact(F.array(*short(f), F.lit(None).cast("string"))) for f in (lambda a: a.topic, lambda a: a.word.upper()))
-    out = df.withColumns({"topics": F.array_distinct(F.concat("_topics", added)), "keywords": F.array_distinct(F.concat(F.flatten("_hits"), shown)), "score": score})
+    df = df.drop("topics", "keywords", "score", "confidence")
+    out = _computed(df, topics=F.array_distinct(F.concat("_topics", added)), keywords=F.array_distinct(F.concat(F.flatten("_hits"), shown)), score=score)
     return out.drop("_hits", "_signs", "_met", "_topics", TEXT).withColumn("confidence", confidence(F.col("score")))
 
 
+def _computed(df: DataFrame, **values: Column) -> DataFrame:
+    """df with the columns, computed once per row: a projection would be merged into those above it and repeat the work."""
+    return df.select("*", F.inline(F.array(F.struct(*[v.alias(k) for k, v in values.items()]))))
+
+
 def _whole(title: str, summary: str) -> Column:
     return normalised(F.concat_ws(" ", F.coalesce(F.col(title), F.lit("")), F.coalesce(F.col(summary), F.lit(""))))
 
@@ -111,31 +120,43 @@ def overlay(articles: DataFrame, profile: Overlay, title: str = "title", summary
             terms.setdefault(term, len(terms))
     df = articles.withColumn(TEXT, _whole(title, summary))
     # every term is tried once; what follows only looks the answers up
-    df = df.withColumn("_hit", F.array(*[_met(F.col(TEXT), F.col("language"), t) for t in terms], F.lit(False)))
-    hit = lambda t: F.col("_hit")[terms[t]]
-    none = F.array().cast("array<string>")
-    found = []
-    for t in topics:
-        concepts: dict[str, list[Column]] = {}
-        for term, weight in [*((k, k.weight) for k in t.keywords), *((x, 1.0) for x in t.synonyms)]:
-            concepts.setdefault(term.concept or term.text, []).append(F.when(hit(term), F.lit(weight)).otherwise(0.0))
-        total: Column = F.lit(0.0)
-        for values in concepts.values():
-            total = total + (F.greatest(*values) if len(values) > 1 else values[0])
-        for p in t.penalties:
-            total = total - F.when(hit(p), 1.0).otherwise(0.0)
-        origin = t.legacy or t.name
-        inherited = F.array_contains("topics", origin) if t.inherit and origin in TOPICS else F.lit(False)
-        total = total + F.when(inherited, 1.0).otherwise(0.0)
-        words = F.array_compact(F.array(*[F.when(hit(x), F.lit(x.text)) for x in (*t.keywords, *t.synonyms)], F.lit(None).cast("string")))
-        found.append(F.struct(F.lit(t.name).alias("name"), F.when(_some([hit(e) for e in t.excludes]), 0.0).otherwise(total).alias("total"), inherited.alias("kept"), words.alias("words")))
-    df = df.withColumn("_found", F.filter(F.array(*found), lambda f: f["total"] > 0))
-    any_found = F.size("_found") > 0
-    best = F.greatest(F.lit(1.0), F.array_max(F.transform("_found", lambda f: f["total"])), F.when(F.exists("_found", lambda f: f["kept"]), F.col("score").cast("double")).otherwise(0.0))
-    names = F.transform("_found", lambda f: f["name"])
-    words = F.array_distinct(F.concat("keywords", F.flatten(F.transform("_found", lambda f: f["words"]))))
-    out = df.withColumns({"topics": names, "score": F.when(any_found, best).otherwise(0.0).cast("int"), "keywords": F.when(any_found, words).otherwise(none)})
-    return out.drop("_hit", "_found", TEXT).withColumn("confidence", confidence(F.col("score")))
+    df = _computed(df, _hit=F.array(*[_met(F.col(TEXT), F.col("language"), t) for t in terms], F.lit(False)))
+
+    def found(r: Column) -> Column:
+        rows = []
+        hit = lambda t: r["_hit"][terms[t]]
+        for t in topics:
+            concepts: dict[str, list[Column]] = {}
+            for term, weight in [*((k, k.weight) for k in t.keywords), *((x, 1.0) for x in t.synonyms)]:
+                concepts.setdefault(term.concept or term.text, []).append(F.when(hit(term), F.lit(weight)).otherwise(0.0))
+            total: Column = F.lit(0.0)
+            for values in concepts.values():
+                total = total + (F.greatest(*values) if len(values) > 1 else values[0])
+            for p in t.penalties:
+                total = total - F.when(hit(p), 1.0).otherwise(0.0)
+            origin = t.legacy or t.name
+            inherited = F.array_contains(r["topics"], origin) if t.inherit and origin in TOPICS else F.lit(False)
+            total = total + F.when(inherited, 1.0).otherwise(0.0)
+            words = F.array_compact(F.array(*[F.when(hit(x), F.lit(x.text)) for x in (*t.keywords, *t.synonyms)], F.lit(None).cast("string")))
+            rows.append(F.struct(F.lit(t.name).alias("name"), F.when(_some([hit(e) for e in t.excludes]), 0.0).otherwise(total).alias("total"), inherited.alias("kept"), words.alias("words")))
+        return F.filter(F.array(*rows), lambda f: f["total"] > 0)
+
+    def outcome(r: Column, f: Column) -> Column:
+        some = F.size(f) > 0
+        best = F.greatest(F.lit(1.0), F.array_max(F.transform(f, lambda x: x["total"])), F.when(F.exists(f, lambda x: x["kept"]), r["score"].cast("double")).otherwise(0.0))
+        words = F.array_distinct(F.concat(r["keywords"], F.flatten(F.transform(f, lambda x: x["words"]))))
+        none = F.array().cast("array<string>")
+        return F.struct(F.transform(f, lambda x: x["name"]).alias("topics"), F.when(some, best).otherwise(0.0).cast("int").alias("score"), F.when(some, words).otherwise(none).alias("keywords"))
+
+    state = F.struct("topics", "keywords", "score", "_hit")
+    df = _computed(df, _o=_let(state, lambda r: _let(found(r), lambda f: outcome(r, f))))
+    out = df.withColumns({k: F.col("_o")[k] for k in ("topics", "score", "keywords")})
+    return out.drop("_hit", "_o", TEXT).withColumn("confidence", confidence(F.col("score")))
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f mentions it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
 #: Kinds of content and the words that show them, the first match counting.

@@ -14,6 +14,8 @@ from presswell.tables import work_table
 
 READ = T.StructType([T.StructField("signature", T.StringType()), T.StructField("readings", T.MapType(T.StringType(), T.LongType()))])
 MIXTURE = "source_key string, signature string, notation string, posterior double, ambiguous boolean"
+#: Columns that normalised_dates makes; columns of the input with these names give way.
+RESERVED = ("source_key", "signature", "readings", "notation", "posterior", "ambiguous", "utc_micros", "_id", "_home", "_formats", "_order", "_read")
 #: Rounds of expectation-maximisation, and the count that every notation of a source starts with.
 ROUNDS = 10
 PRIOR = 0.5
@@ -76,6 +78,7 @@ def normalised_dates(candidates: DataFrame, sources: DataFrame, decide_above: fl
     ambiguity, a skipped local time, or a value without any zone; posterior and notation are null where nothing can be
     read. A candidate of an unknown source is read with its own zone and day-month-year. Repeated rows stay repeated.
     """
+    candidates = candidates.select(*[c for c in candidates.columns if c not in RESERVED])
     home = sources.select(F.col("id").alias("_id"), F.col("timezone").alias("_home"), F.col("date_formats").alias("_formats"), F.col("date_order").alias("_order")).dropDuplicates(["_id"])
     key = F.coalesce(F.col("source_id"), F.lit("")).alias("source_key")
     read = candidates.join(home, F.col("source_id") == F.col("_id"), "left").withColumn("_read", read_dates("raw_value", "timezone", "_home", "_formats", "_order"))

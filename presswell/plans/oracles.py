@@ -191,7 +191,7 @@ def core_oracles() -> dict[str, str]:
             WHEN NOT regexp_matches(host, '^(?:[a-z0-9](?:[a-z0-9-]{{0,61}}[a-z0-9])?\.)+[a-z0-9](?:[a-z0-9-]{{0,61}}[a-z0-9])?$') OR regexp_matches(host, '\.(?:localhost|local|internal|home|lan)$') THEN 'nonpublic_host' ELSE 'ok' END AS code
           FROM (SELECT url, lower({HOST.format("url")}) AS host, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?[^/?#:]*:(\d*)', 1) AS port FROM articles)) GROUP BY code""",
         "page_kinds": rf"SELECT NOT coalesce(regexp_matches(regexp_replace(url, '[?#].*$', ''), '(?i)\.(?:pdf|docx?|xlsx?|pptx?|zip|csv|xml|json|jpe?g|png|gif|svg|mp[34])$'), false) AS html, coalesce({nav} IN ({_in(NAVIGATION)}) OR regexp_matches({nav}, '^(?:page|seite)\s+\d+$'), false) AS navigation, count(*) AS n FROM documents GROUP BY ALL",
-        "redacted_urls": r"SELECT article_id, regexp_replace(regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^([A-Za-z][A-Za-z0-9+.-]*://)[^/?#@]*@', '\1'), '([?&](?:[^=&]*(?:token|key|secret|password|passwd|auth|signature|session)[^=&]*)=)[^&]*', '\1[redacted]', 'gi') AS redacted FROM articles",
+        "redacted_urls": r"SELECT article_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), '#.*$', ''), '^([A-Za-z][A-Za-z0-9+.-]*://)[^/?#@]*@', '\1'), '([?&](?:[^=&]*(?:token|key|secret|password|passwd|auth|signature|session)[^=&]*)=)[^&]*', '\1[redacted]', 'gi') AS redacted FROM articles",
         "selected_sources": "SELECT id, country FROM sources WHERE country IN ('DE', 'FR', 'EU')",
         "period_articles": "SELECT source_id, count(*) AS n, epoch_us(min(published_at)) AS first, epoch_us(max(published_at)) AS last FROM articles WHERE published_at >= TIMESTAMPTZ '2022-02-13T16:00:00Z' AND published_at < TIMESTAMPTZ '2022-02-20T16:00:00Z' GROUP BY source_id",
         "future_dates": f"SELECT source_id, count(*) FILTER (late) AS future, count(*) FILTER (late AND lower(trim(coalesce(date_confidence, ''))) <> 'low') AS unexplained, count(*) FILTER (published_at IS NOT NULL AND NOT late) AS dated FROM (SELECT *, coalesce(epoch_us(published_at) > epoch_us({observed}) + 86400000000, false) AS late FROM articles) GROUP BY source_id",

@@ -126,7 +126,7 @@ def page_kinds(s: SparkSession, d: str) -> DataFrame:
 
 
 def redacted_urls(s: SparkSession, d: str) -> DataFrame:
-    return _articles(s, d).select("article_id", t.redacted_url(F.trim("url")).alias("redacted"))
+    return _articles(s, d).select("article_id", t.redacted_url(t.strip(F.col("url"))).alias("redacted"))
 
 
 def selected_sources(s: SparkSession, d: str) -> DataFrame:
