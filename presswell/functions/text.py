@@ -13,8 +13,8 @@ BLANKS = "[\\s\\p{Z}\\u200b\\ufeff]"
 
 
 def casefold(c: Column) -> Column:
-    """Case folding without a Python worker: upper-casing first expands letters such as the sharp s."""
-    return F.lower(F.upper(c))
+    """Case folding without a Python worker: small letters, the sharp s as the two letters that its capital form has."""
+    return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
 
 
 def strip(c: Column) -> Column:
