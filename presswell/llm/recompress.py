@@ -13,6 +13,9 @@ ROUNDS = 14
 WINDOW = 3
 #: Characters on either side of an anchor that its key covers.
 HALF = 50
+#: A symbol longer than this is a run, or a stretch in which nothing marks a place: it repeats itself within PHASES characters.
+LONG = 3 * FULL
+PHASES = 4 * FULL
 #: Texts are handled in slices of about so many characters, to bound the memory of a task.
 SLICE = 1_000_000
 
@@ -124,13 +127,18 @@ def anchors(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     first = np.concatenate(([0], np.cumsum(lengths + 1)[:-1]))
     s = prefix(codes)
-    start, _, name = symbols(codes, s)
+    start, size, name = symbols(codes, s)
     chosen = np.ones(len(name), bool)
     if len(name) >= WINDOW:
         windows = np.lib.stride_tricks.sliding_window_view(name, WINDOW)
         chosen[:] = False
         chosen[windows.argmin(axis=1) + np.arange(len(windows))] = True
-    place = start[chosen]
+    # both ends of a run are anchors, and so are enough places inside for every phase of what it repeats
+    long = (size > LONG) & (codes[start] != 0)
+    chosen |= long
+    chosen[1:] |= long[:-1]
+    inner = (start[long, None] + HALF + np.arange(PHASES)[None, :])[np.arange(PHASES)[None, :] < (size[long, None] - HALF)]
+    place = np.unique(np.concatenate((start[chosen], inner)))
     text = np.searchsorted(first, place, side="right") - 1
     inside = (place - first[text] >= HALF) & (place + HALF <= first[text] + lengths[text])
     place, text = place[inside], text[inside]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -106,15 +107,24 @@ def _grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([c["a"], c["b"], pa.array(f - left), pa.array(f - g - left), pa.array(e - f + left + right)], ["a", "b", "a_start", "b_start", "length"])
 
 
-def shared_stretches(documents: DataFrame, hot: int = HOT, reach: int = REACH) -> DataFrame:
-    """a, b, a_start, b_start, length: stretches of LENGTH characters or more that two different texts share, a < b.
+@dataclass(frozen=True)
+class Shared:
+    """What two different texts share: verified stretches (a, b, a_start, b_start, length), and, where very many places
+    share a key, the windows (key, doc, pos of the middle) of LENGTH characters that hold it."""
+
+    stretches: DataFrame
+    windows: DataFrame | None
+
+
+def shared_stretches(documents: DataFrame, hot: int = HOT, reach: int = REACH) -> Shared:
+    """Stretches of LENGTH characters or more that two different texts share, a < b.
 
     Texts are named by recompression, round by round, in one narrow pass; anchors carry the hash of the 100 characters
     around them. Only keys that occur in several places go on. Keys that very many places share are replaced by keys of
     every whole window around them, so that a group holds true pairs only; nothing is capped. Anchors of one diagonal whose
-    keys touch form a chain, and up to `reach` characters beyond its ends are compared exactly. Of equal texts, the one of lowest id
-    stands for all (text_classes). Null, empty and short texts share nothing; a repeated doc_id with the same text is one
-    document. Places count characters from 0.
+    keys touch form a chain, and up to `reach` characters beyond its ends are compared exactly. Of equal texts, the one of
+    lowest id stands for all (text_classes). Null, empty and short texts share nothing; a repeated doc_id with the same text
+    is one document. Places count characters from 0.
     """
     texts = documents.filter((F.length("text") >= LENGTH) & F.col("doc_id").isNotNull()).select("doc_id", "text")
     classes = work_table(text_classes(texts), "classes")
@@ -123,11 +133,14 @@ def shared_stretches(documents: DataFrame, hot: int = HOT, reach: int = REACH) -
     counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = work_table(rows.join(counts, "key"), "met")
     usual = _meetings(met.filter(F.col("n") <= hot).select("key", "doc", "pos"))
+    windows = None
     if not met.filter(F.col("n") > hot).isEmpty():
         places = met.filter(F.col("n") > hot).groupBy("doc").agg(F.collect_set("pos").alias("places"))
-        windows = places.join(single, F.col("doc") == F.col("doc_id")).select("doc", "places", "text").mapInArrow(_window_rows, "key long, doc long, pos int").distinct()
-        usual = usual.unionByName(_meetings(windows))
-    return _verified(usual.distinct(), single, reach)
+        whole = places.join(single, F.col("doc") == F.col("doc_id")).select("doc", "places", "text").mapInArrow(_window_rows, "key long, doc long, pos int")
+        windows = work_table(whole.distinct(), "windows")
+        several = windows.groupBy("key").agg(F.min("doc").alias("d"), F.max("doc").alias("e")).filter("d < e").select("key")
+        windows = windows.join(several, "key", "left_semi")
+    return Shared(_verified(usual.distinct(), single, reach), windows)
 
 
 def _verified(meetings: DataFrame, texts: DataFrame, reach: int) -> DataFrame:
@@ -152,7 +165,12 @@ def shared_pairs(documents: DataFrame, hot: int = HOT) -> DataFrame:
     """
     docs = documents.filter(F.col("doc_id").isNotNull())
     classes = work_table(text_classes(docs), "classes")
-    pairs = shared_stretches(docs, hot, DECIDE).select("a", "b").distinct()
+    shared = shared_stretches(docs, hot, DECIDE)
+    pairs = shared.stretches.select("a", "b")
+    if shared.windows is not None:
+        once = shared.windows.select("key", "doc").distinct()
+        pairs = pairs.unionByName(once.alias("x").join(once.alias("y"), "key").filter("x.doc < y.doc").select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")))
+    pairs = pairs.distinct()
     # a class of one member is its own representative
     of = lambda side: classes.select(F.col("rep").alias(side), F.col("doc_id").alias(f"{side}_member"))
     wide = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_member", "a").alias("x"), F.coalesce("b_member", "b").alias("y"))
@@ -168,7 +186,10 @@ def shared_coverage(documents: DataFrame, hot: int = HOT) -> DataFrame:
     docs = documents.filter(F.col("doc_id").isNotNull())
     sizes = docs.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n_chars")).groupBy("doc_id").agg(F.max("n_chars").alias("n_chars"))
     classes = work_table(text_classes(docs), "classes")
-    spans = shared_stretches(docs, hot).select(F.inline(F.array(F.struct(F.col("a").alias("doc"), F.col("a_start").alias("s"), F.col("length").alias("n")), F.struct(F.col("b").alias("doc"), F.col("b_start").alias("s"), F.col("length").alias("n")))))
+    shared = shared_stretches(docs, hot)
+    spans = shared.stretches.select(F.inline(F.array(F.struct(F.col("a").alias("doc"), F.col("a_start").alias("s"), F.col("length").alias("n")), F.struct(F.col("b").alias("doc"), F.col("b_start").alias("s"), F.col("length").alias("n")))))
+    if shared.windows is not None:
+        spans = spans.unionByName(shared.windows.select("doc", (F.col("pos") - LENGTH // 2).alias("s"), F.lit(LENGTH).alias("n")))
     spans = spans.distinct().withColumn("e", F.col("s") + F.col("n"))
     reached = spans.withColumn("to", F.expr("max(e) over (partition by doc order by s, e rows between unbounded preceding and 1 preceding)"))
     covered = reached.groupBy("doc").agg(F.sum(F.greatest(F.lit(0), F.col("e") - F.greatest("s", F.coalesce("to", F.lit(0))))).alias("c"))
