@@ -8,8 +8,9 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-#: Elements that a new one of the same kind closes.
-SELF_CLOSING = {"li": {"ul", "ol"}, "p": {"div", "article", "section", "main", "body", "li", "td"}, "tr": {"table", "tbody", "thead"}, "td": {"tr"}, "th": {"tr"}, "option": {"select"}}
+#: Elements that a new one of the same kind closes, up to the containers named; and elements that close a paragraph.
+SELF_CLOSING = {"li": {"ul", "ol"}, "tr": {"table", "tbody", "thead"}, "td": {"tr"}, "th": {"tr"}, "option": {"select"}}
+BLOCKS = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 
 
 class Node:
@@ -66,17 +67,22 @@ class _Builder(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         if tag in SELF_CLOSING:
-            node = self.at
-            while node.parent is not None and node.name not in SELF_CLOSING[tag]:
-                if node.name == tag:
-                    self.at = node.parent
-                    break
-                node = node.parent
+            self._close(tag, SELF_CLOSING[tag])
+        elif tag in BLOCKS:
+            self._close("p", BLOCKS - {"p"} | {"li", "td", "th", "body"})
         node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
 
+    def _close(self, name, containers):
+        node = self.at
+        while node.parent is not None and node.name not in containers:
+            if node.name == name:
+                self.at = node.parent
+                return
+            node = node.parent
+
     def handle_startendtag(self, tag, attrs):
         self.at.children.append(Node(tag, {k: v or "" for k, v in attrs}, self.at))
 

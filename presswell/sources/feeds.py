@@ -35,7 +35,7 @@ def text_of(c: Column) -> Column:
 
 
 def looks_like_json(body: Column) -> Column:
-    return F.ltrim(F.left(body, F.lit(100))).rlike(r"^[{\[]")
+    return F.left(body, F.lit(100)).rlike(r"^\s*[{\[]")
 
 
 def _rows(items: DataFrame, kind: str, via: str) -> DataFrame:

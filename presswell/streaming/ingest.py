@@ -20,7 +20,7 @@ def corpus_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000)
 
 def distinct_urls(stream: DataFrame, time: str = "published_ts", late: str = "30 days", url: str = "url") -> DataFrame:
     """The first row of each address within the watermark; a row without a time passes once per address and batch window."""
-    key = F.regexp_replace(F.lower(F.trim(url)), "(?:#.*|/+)$", "")
+    key = F.regexp_replace(F.regexp_replace(F.lower(F.trim(url)), "#.*$", ""), "/+$", "")
     return stream.withColumn("url_key", key).withWatermark(time, late).dropDuplicatesWithinWatermark(["url_key"])
 
 
