@@ -11,6 +11,8 @@ from presswell.tables import work_table
 
 #: Pointer jumping halves the way to the root in each round; 40 rounds reach over 10^12 links.
 ROUNDS = 40
+#: List positions that one window walks at most.
+RUN = 1 << 20
 
 
 def title_key(title: Column, published_at: Column, local_date: Column | None = None) -> Column:
@@ -27,14 +29,14 @@ def entities(keyed: DataFrame) -> DataFrame:
     keyed: ord (unique, list order), url_key, title_key. In list order a row joins the entity that its url points to, else
     the one its title points to, else it founds one; then both keys point to its entity. So all rows of one url share an
     entity, and the first row of a url joins the entity of the latest row before it with its title. That gives every url one
-    parent at most, earlier in the list, and the entity is the root of its tree: two windows and a logarithm of joins, no
-    loop over rows. A null or empty url_key makes the row a url of its own; null titles match nothing.
+    parent at most, earlier in the list, and the entity is the root of its tree: windows over runs of the list and a
+    logarithm of joins, no loop over rows. A null or empty url_key makes the row a url of its own; null titles match nothing.
     """
     own = F.concat(F.lit("\u0000"), F.col("ord").cast("string"))
     rows = keyed.select("ord", F.coalesce(F.nullif("url_key", F.lit("")), own).alias("u"), F.nullif("title_key", F.lit("")).alias("t"))
     heads = rows.groupBy("u").agg(F.min("ord").alias("head"))
     rows = work_table(rows.join(heads, "u"), "heads")
-    before = rows.filter("t is not null").select("ord", "head", F.expr("lag(head) over (partition by t order by ord)").alias("up"))
+    before = _latest_before(rows.filter("t is not null").select("ord", "head", "t"))
     parents = rows.filter("ord = head").select("ord").join(before.filter("ord = head and up is not null").select("ord", "up"), "ord", "left")
     # a url's node is the ord of its first row; its parent is the node of the row before it
     tree = work_table(parents.select(F.col("ord").alias("node"), F.coalesce("up", "ord").alias("root")), "tree")
@@ -47,6 +49,19 @@ def entities(keyed: DataFrame) -> DataFrame:
     return rows.join(tree, F.col("head") == F.col("node")).select("ord", F.col("root").alias("entity"))
 
 
+def _latest_before(rows: DataFrame) -> DataFrame:
+    """rows (ord, head, t) with up, the head of the row before it with the same t, null for the first.
+
+    Titles that very many rows share are walked in runs of list positions: within a run by a window, across runs by the
+    last head of each run, of which there are few.
+    """
+    spread = rows.withColumn("run", F.floor(F.col("ord") / RUN))
+    ends = spread.groupBy("t", "run").agg(F.max_by("head", "ord").alias("end"))
+    ends = ends.withColumn("carried", F.expr("lag(end) over (partition by t order by run)")).select("t", "run", "carried")
+    inside = spread.withColumn("up", F.expr("lag(head) over (partition by t, run order by ord)"))
+    return inside.join(ends, ["t", "run"]).select("ord", "head", F.coalesce("up", "carried").alias("up"))
+
+
 def _ordered_union(rows: DataFrame, values: Column, name: str) -> DataFrame:
     """entity and the distinct values in order of first appearance; equal values collapse before they are gathered."""
     each = rows.select("entity", "ord", F.posexplode(values).alias("pos", "v")).filter("v is not null and v != ''")

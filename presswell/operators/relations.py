@@ -57,17 +57,19 @@ def detail_candidates(articles: DataFrame, sources: DataFrame, since: str, until
 
     Wanted are articles without a date, without high confidence or with a short summary; not those with a sure date outside
     the period. Undated first, then dated within, then unsure, then the longest summary, then list order. Pages that aren't
-    HTML use up their place. Sources have few thousand articles of one run; the window sorts within a source.
+    HTML use up their place. The largest quota of all sources, one number, lets each task drop rows beyond it before the
+    shuffle.
     """
+    most = sources.agg(F.max("detail_pages")).first()[0] or 0
     ts = F.col("published_at")
     inside = F.coalesce((ts >= F.lit(since).cast("timestamp")) & (ts < F.lit(until).cast("timestamp")), F.lit(False))
     high = F.coalesce(F.col("date_confidence") == "high", F.lit(False))
     length = F.length(F.coalesce("summary", F.lit("")))
     rows = articles.filter((ts.isNull() | ~high | (length < 40)) & ~(ts.isNotNull() & high & ~inside))
-    rows = rows.join(F.broadcast(sources.select(F.col("id").alias("source_id"), "detail_pages")), "source_id")
+    rows = rows.join(sources.select(F.col("id").alias("source_id"), "detail_pages"), "source_id")
     rows = rows.withColumns({"_a": ts.isNotNull(), "_b": ~inside, "_c": high, "_d": -length})
     rows = rows.withColumn("rank", F.expr("row_number() over (partition by source_id order by _a, _b, _c, _d, article_id)"))
-    return rows.filter((F.col("rank") <= F.col("detail_pages")) & is_html_url(F.col("url"))).drop("_a", "_b", "_c", "_d", "detail_pages")
+    return rows.filter(F.col("rank") <= most).filter((F.col("rank") <= F.col("detail_pages")) & is_html_url(F.col("url"))).drop("_a", "_b", "_c", "_d", "detail_pages")
 
 
 def output_order(rows: DataFrame, since: str, order: str = "article_id") -> list[Column]:

@@ -205,3 +205,21 @@ def test_streaming_health(spark, tmp_path):
     q = ingest.trailing_health(spark.readStream.schema(schema).parquet(str(src))).writeStream.format("memory").queryName("health_out").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     q.awaitTermination(120)
     assert [(r["raw_count"], r["median_count"]) for r in spark.table("health_out").orderBy("at").collect()] == [(20, 0.0), (24, 20.0), (22, 22.0), (2, 22.0)]
+
+
+def test_rechecks(spark, tmp_path):
+    from presswell.sources import rechecks
+
+    attempt = {"url": "https://a.eu", "observed_at": "2022-01-02T00:00:00+00:00", "http_status": 200}
+    check = lambda i, result="blocked", **k: {"canonical_id": i, "country": "DE", "result": result, "next_action": "wait", "attempts": [attempt]} | k
+    write = lambda name, value: (tmp_path / name).write_text(json.dumps(value), encoding="utf-8")
+    write("ministry_round1_baseline.json", {"observed_on": "2022-01-01", "remaining_count": 4, "ministries": [{"canonical_id": i, "country": "DE"} for i in "abcd"]})
+    write("ministry_round1_x.json", {"schema_version": 1, "group": "x", "observed_on": "2022-01-02", "checks": [check("a", "registered"), check("b"), check("c", "odd", country="FR", attempts=[]), check("z")]})
+    write("ministry_round1_fixture.json", {"other": 1})
+    write("ministry_round2_baseline.json", {"observed_on": "2022-02-01", "remaining_count": 1, "ministries": [{"canonical_id": "c", "country": "DE"}]})
+    write("ministry_round2_y.json", {"schema_version": 1, "group": "y", "observed_on": "2022-01-15", "checks": [check("c")]})
+    base, reports = rechecks.baselines(spark, str(tmp_path)), rechecks.checks(spark, str(tmp_path))
+    assert base.count() == 5 and reports.count() == 5
+    got = sorted(map(tuple, rechecks.recheck_problems(base, reports).collect()))
+    assert got == sorted([(1, "d", "unreported"), (1, "z", "unexpected"), (1, "c", "country"), (1, "c", "result"), (1, "c", "attempts"), (2, "c", "too_early"), (2, "b", "dropped"), (2, "z", "dropped")])
+    assert {r["canonical_id"]: r["round"] for r in rechecks.latest_checks(reports).collect()} == {"a": 1, "b": 1, "c": 2, "z": 1}

@@ -31,7 +31,8 @@ def fold(items):
 
 
 @pytest.mark.parametrize("seed", range(6))
-def test_entities_equal_the_sequential_merge(spark, seed):
+def test_entities_equal_the_sequential_merge(spark, seed, monkeypatch):
+    monkeypatch.setattr(dedupe, "RUN", 7)
     r = Random(seed)
     items = [(i, r.choice([None, "", *"abcdefgh"[: r.randint(2, 8)]]), r.choice([None, *"uvwxyz"[: r.randint(2, 6)]])) for i in range(r.randint(0, 60))]
     got = dedupe.entities(spark.createDataFrame(items, "ord long, url_key string, title_key string"))
