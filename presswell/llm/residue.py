@@ -165,6 +165,8 @@ Do działania serwisu wymagane są skrypty w przeglądarce
 Aktivera JavaScript för att visa sidan
 Webbplatsen kräver att skript är påslagna i webbläsaren
 """
+#: Words that a server adds to any of its messages.
+TRAILERS = {"id", "request", "ref", "reference", "error", "http", "code", "status"}
 #: What real announcements about marks say around them; a sentence that contains such a passage is news.
 REPORTS = """
 Project replaces style variables in official letter templates
@@ -212,7 +214,8 @@ def exemplars() -> list[tuple[int, str, set[str], set[str]]]:
     for kind, block in (("filler", FILLER), ("error", ERRORS), ("script", SCRIPTS), ("report", REPORTS)):
         for line in filter(None, block.split("\n")):
             core, _, more = line.partition("|")
-            out.append((len(out), kind, {*_words(core)}, {*_words(core), *_words(more)}))
+            added = TRAILERS if kind == "error" else set()
+            out.append((len(out), kind, {*_words(core)}, {*_words(core), *_words(more), *added}))
     return out
 
 

@@ -8,6 +8,7 @@ BAD = [
     ("{{ title }}", None), ("A fine of ${amount} million euros", None), ("News", "[item.description]"), ("News", "Fine text.\n%(teaser)s"), ("__CITY__", ""), ("The council {% block n %} opens", ""),
     ("Insert headline here", None), ("News", "lorem ipsum dolor sit amet"), ("Text text text text", None), ("xxx xxxx xx", None), ("TEST blah asdf", None), ("Irure cillum ut aute.", None),
     ("404 Not Found (ID dd06c1d2)", None), ("[503] Service temporarily unavailable, try again later", None), ("Titel", "Zugriff verweigert: Ihre Anfrage wurde gesperrt."), ("HTTP Error 503. The service is unavailable.", None),
+    ("403 Forbidden – request 452fb6ea", None), ("Error 404: 403 Forbidden", None),
     ("Please enable JavaScript to view this page", None), ("Nieuws", "Schakel JavaScript in om deze pagina te bekijken"),
 ]
 GOOD = [
