@@ -1,0 +1,12 @@
+"""Everyday sentences in each language: one more centroid for wording that the labelled sample may lack."""
+
+SENTENCES = {
+    "en": "This guidance explains how public offices should word their messages and letters. The project replaces old variables and templates with new official forms. Services must remain usable without a browser or a telephone. The court decided that the office had refused access without good reason. Readers report that some entries were outdated and have been removed. Inspectors warn of fake screens that are used for fraud. New rules say what has to be done when something goes wrong. An exhibition on the history of writing opens next week. People who would like to know more can ask which papers are available. It was not clear whether they had been told about this before. The software has been fixed and should be used again from tomorrow. We also want to thank those who helped us with their work.",
+    "de": "Dieser Leitfaden erklärt, wie Behörden ihre Meldungen und Briefe verständlich schreiben. Das Vorhaben ersetzt alte Vorlagen und Platzhalter durch neue amtliche Formulare. Dienste müssen auch ohne Browser oder Telefon nutzbar sein. Das Gericht entscheidet, dass der Zugriff auf die Akte nicht verweigert werden durfte. Leser melden, dass einige Einträge veraltet waren und entfernt wurden. Die Stelle warnt vor gefälschten Seiten, die zum Betrug benutzt werden. Neue Regeln sagen, was zu tun ist, wenn etwas schiefgeht. Eine Ausstellung zur Geschichte der Schrift wird nächste Woche eröffnet. Wer mehr wissen möchte, kann fragen, welche Unterlagen es gibt. Es war nicht klar, ob sie vorher davon gehört hatten. Die Schwachstelle in der Software wurde behoben. Wir danken auch allen, die uns bei der Arbeit geholfen haben.",
+    "fr": "Ce guide explique aux services comment rédiger leurs messages et leurs lettres. Le projet remplace les anciens modèles par de nouveaux formulaires officiels. Les services doivent fonctionner sans navigateur ni téléphone. Le tribunal juge que l'accès au dossier a été refusé à tort. Des lecteurs signalent que certaines pages étaient dépassées et qu'elles ont été retirées. Les inspecteurs mettent en garde contre de faux écrans utilisés pour tromper le public. De nouvelles règles disent ce qu'il faut faire quand quelque chose ne va pas. Une exposition sur l'histoire de l'écriture ouvre la semaine prochaine. Ceux qui veulent en savoir plus peuvent demander quels documents sont disponibles. On ne savait pas si elles en avaient déjà entendu parler. La faille du logiciel a été corrigée. Nous remercions aussi toutes celles et tous ceux qui nous ont aidés.",
+    "es": "Esta guía explica cómo deben redactar las oficinas sus mensajes y sus cartas. El proyecto sustituye los viejos modelos por nuevos formularios oficiales. Los servicios tienen que funcionar sin navegador ni teléfono. El tribunal considera que se denegó sin razón el acceso al expediente. Los lectores avisan de que algunas páginas eran antiguas y se han retirado. La inspección advierte de pantallas falsas que se usan para engañar. Las nuevas reglas dicen qué hay que hacer cuando algo sale mal. Una exposición sobre la historia de la escritura abre la semana que viene. Quien quiera saber más puede preguntar qué documentos hay. No estaba claro si ya habían oído hablar de ello. El fallo del programa ha sido corregido. Damos también las gracias a quienes nos ayudaron.",
+    "it": "Questa guida spiega come gli uffici devono scrivere i messaggi e le lettere. Il progetto sostituisce i vecchi modelli con nuovi moduli ufficiali. I servizi devono funzionare senza browser e senza telefono. Il giudice ritiene che l'accesso al fascicolo sia stato negato a torto. I lettori segnalano che alcune pagine erano vecchie e sono state tolte. Gli ispettori mettono in guardia da schermate false usate per ingannare. Le nuove regole dicono che cosa fare quando qualcosa va storto. Una mostra sulla storia della scrittura apre la settimana prossima. Chi vuole saperne di più può chiedere quali documenti ci sono. Non era chiaro se ne avessero già sentito parlare. Il difetto del programma è stato corretto. Ringraziamo anche tutti quelli che ci hanno aiutato.",
+    "nl": "Deze handleiding legt uit hoe kantoren hun berichten en brieven moeten schrijven. Het project vervangt oude sjablonen door nieuwe officiële formulieren. Diensten moeten ook zonder browser of telefoon bruikbaar zijn. De rechter vindt dat de toegang tot het dossier ten onrechte is geweigerd. Lezers melden dat sommige pagina's verouderd waren en zijn verwijderd. De inspectie waarschuwt voor valse schermen die worden gebruikt voor fraude. Nieuwe regels zeggen wat er moet gebeuren als er iets misgaat. Volgende week opent een tentoonstelling over de geschiedenis van het schrift. Wie meer wil weten, kan vragen welke stukken er zijn. Het was niet duidelijk of zij er al van hadden gehoord. De fout in de software is verholpen. Wij danken ook iedereen die ons heeft geholpen.",
+    "pl": "Ten poradnik wyjaśnia, jak urzędy powinny pisać komunikaty i listy. Projekt zastępuje stare wzory nowymi oficjalnymi formularzami. Usługi muszą działać także bez przeglądarki i telefonu. Sąd uznał, że niesłusznie odmówiono dostępu do akt. Czytelnicy zgłaszają, że niektóre strony były nieaktualne i zostały usunięte. Inspektorzy ostrzegają przed fałszywymi ekranami, które służą do oszustw. Nowe zasady mówią, co zrobić, gdy coś pójdzie źle. W przyszłym tygodniu otwarta zostanie wystawa o historii pisma. Kto chce wiedzieć więcej, może zapytać, jakie dokumenty są dostępne. Nie było jasne, czy już o tym słyszeli. Błąd w oprogramowaniu został naprawiony. Dziękujemy też wszystkim, którzy nam pomogli.",
+    "sv": "Den här vägledningen förklarar hur myndigheter bör skriva sina meddelanden och brev. Projektet ersätter gamla mallar med nya officiella blanketter. Tjänsterna måste fungera även utan webbläsare och telefon. Domstolen anser att tillgången till akten nekades utan skäl. Läsare berättar att några sidor var gamla och har tagits bort. Inspektörerna varnar för falska sidor som används för bedrägeri. Nya regler säger vad som ska göras när något går fel. En utställning om skriftens historia öppnar nästa vecka. Den som vill veta mer kan fråga vilka handlingar som finns. Det var inte klart om de hade hört talas om det tidigare. Felet i programmet har rättats. Vi tackar också alla som har hjälpt oss.",
+}

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from presswell.llm.everyday import SENTENCES
+
 LANGUAGES = ("en", "de", "fr", "es", "it", "nl", "pl", "sv")
 #: Other spellings of the codes.
 SPELLINGS = {
@@ -27,6 +29,8 @@ ROUNDS = 6
 #: A piece is left undecided when its best language leads by less than so much, or lies farther from it than this cosine.
 LEAD = 0.04
 LEAST = 0.08
+#: Below this cosine a piece is near no language.
+NEAR = 0.04
 #: Letters below which a training piece is left out, and below which a sentence decides only where no longer piece does.
 LETTERS = 4
 SHORT = 25
@@ -102,7 +106,8 @@ def fit(rows: list[tuple[str, str | None, str | None]]) -> Model:
     """A model from (language, title, summary).
 
     Labels may be wrong: a first centroid per language comes from the labels, pieces that lie nearer to another language
-    are dropped until nothing changes, and what is left of each language is clustered into a few centroids.
+    are dropped until nothing changes, and what is left of each language is clustered into a few centroids. Everyday
+    sentences give each of these languages one centroid more.
     """
     labelled = sorted({(LANGUAGES.index(code), p) for code, title, summary in rows for p in split(title, summary) if len(p) >= LETTERS})
     label, pieces = np.array([k for k, _ in labelled], int), [p for _, p in labelled]
@@ -136,6 +141,11 @@ def fit(rows: list[tuple[str, str | None, str | None]]) -> Model:
             c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
         weight.extend(c)
         language.extend([k] * len(c))
+    for k, code in enumerate(LANGUAGES):
+        if k in language:
+            c = _vectors(split(None, SENTENCES[code]), idf).sum(axis=0)
+            weight.append(c / max(float(np.linalg.norm(c)), 1e-9))
+            language.append(k)
     return Model(idf, np.array(weight, np.float32).reshape(-1, DIMENSIONS).T.copy(), np.array(language, int))
 
 
@@ -163,16 +173,21 @@ def decisions(cosines: np.ndarray) -> tuple[list[int], list[bool], list[float]]:
     best = cosines.argmax(axis=1)
     two = np.partition(cosines, -2, axis=1)[:, -2:]
     sure = (two[:, 1] >= LEAST) & (two[:, 1] - two[:, 0] >= LEAD)
-    return best.tolist(), sure.tolist(), (two[:, 1] / np.maximum(cosines.sum(axis=1), 1e-9)).tolist()
+    share = np.where(two[:, 1] >= NEAR, two[:, 1] / np.maximum(cosines.sum(axis=1), 1e-9), 0.0)
+    return best.tolist(), sure.tolist(), share.tolist()
 
 
 def stretches(pieces: list[tuple[int, bool, float, bool]]) -> list[tuple[int, float]]:
     """(language, confidence) of the maximal stretches of one text, from (language, sure, share, long) of its pieces.
 
     Undecided pieces belong to the piece before them, or to the next where none is before; a short one never opens a
-    stretch beside longer ones. Confidence is the mean share of a stretch's pieces; [] if no piece decides.
+    stretch beside longer ones. Confidence is the mean share of a stretch's pieces. Where no piece decides, the clearest one
+    speaks for the whole text, if it is near any language at all; [] if none is.
     """
     deciding = [p for p in pieces if p[1]]
+    if not deciding:
+        k, _, share, _ = max(pieces, key=lambda p: p[2], default=(-1, False, 0.0, False))
+        return [(k, round(share, 4))] if share > 0 else []
     if any(p[3] for p in deciding):
         deciding = [p for p in deciding if p[3]]
     runs: list[tuple[int, list[float]]] = []
