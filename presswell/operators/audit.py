@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from presswell.functions.urls import identity_key
+from presswell.functions.urls import host_of, identity_key
+from presswell.operators.relations import suffix_join
 
+#: Links read from one directory page.
+MAX_LINKS = 500
 #: What shows a challenge page, and what a qualifying run must reach.
 CHALLENGES = ("captcha", "cf-challenge", "just a moment", "checking your browser", "access denied", "attention required", "enable javascript and cookies")
 HIGH, CONFLICT = 0.75, 0.05
@@ -79,3 +85,32 @@ def catalog_problems(catalog: DataFrame, countries: list[str], topics: list[str]
     twice = catalog.groupBy("canonical_id").agg(F.count(F.lit(1)).alias("_n"))
     found = F.array_compact(F.array(*[F.when(t, F.lit(c)) for c, t in tests], F.when(F.col("_n") > 1, F.lit("repeated_id"))))
     return catalog.join(twice, "canonical_id", "left").select("canonical_id", found.alias("problems")).filter(F.size("problems") > 0).distinct()
+
+
+def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    from urllib.parse import urljoin
+
+    from presswell.functions.html import parse
+
+    for pdf in batches:
+        rows = []
+        for page, body in zip(pdf["url"], pdf["body"], strict=True):
+            anchors = parse(body or "").all("a[href]")[:MAX_LINKS]
+            rows += [(page, i, urljoin(page, a.get("href")), a.text()[:240]) for i, a in enumerate(anchors) if a.get("href") and not a.get("href").startswith("#")]
+        yield pd.DataFrame(rows, columns=["page", "pos", "link", "label"])
+
+
+def discover(pages: DataFrame, domains: DataFrame, known: DataFrame) -> DataFrame:
+    """url_key, url, label, country, discovered_from of links that landed directory pages (url, body) give for declared domains.
+
+    domains: domain, pos, country; the first that fits decides. Links to hosts that `known` (url) has are no candidates.
+    What an inventory makes of them is candidate_inventory's.
+    """
+    links = pages.select("url", "body").mapInPandas(_links, "page string, pos int, link string, label string").filter(F.col("link").startswith("https://"))
+    links = links.withColumn("host", host_of(F.col("link")))
+    declared = suffix_join(links, "host", domains).filter("domain is not null").join(domains.groupBy("domain").agg(F.min_by("country", "pos").alias("country")), "domain")
+    bare = F.regexp_replace("host", "^www\\.", "")
+    hosts = known.select(F.regexp_replace(host_of(F.col("url")), "^www\\.", "").alias("_bare")).distinct()
+    fresh = declared.withColumn("_bare", bare).join(hosts, "_bare", "left_anti").withColumn("url_key", identity_key(F.col("link")))
+    first = F.min(F.struct("page", "pos", "link", "label", "country")).alias("r")
+    return fresh.groupBy("url_key").agg(first, F.array_sort(F.collect_set("page")).alias("discovered_from")).select("url_key", F.col("r.link").alias("url"), "r.label", "r.country", "discovered_from")

@@ -115,3 +115,12 @@ def interval_coverage(intervals: DataFrame, since: int, until: int, group: list[
     to = F.least(F.coalesce(F.max(F.when(F.col("_gaps") == 0, F.col("end"))), F.lit(since)), F.lit(until)).cast("long")
     out = (rows.groupBy(*group) if group else rows.groupBy()).agg(to.alias("covered_to"))
     return out.withColumn("complete", F.col("covered_to") >= until)
+
+
+def retained_profiles(profiles: DataFrame, keep: int = 8, archive: int = 24) -> tuple[DataFrame, DataFrame]:
+    """The newest profiles (fingerprint, updated_at), and of the others those that the archive keeps: the oldest ones, which
+    are appended last."""
+    ranked = profiles.withColumn("_n", F.expr("row_number() over (order by updated_at desc, fingerprint)"))
+    old = ranked.filter(F.col("_n") > keep)
+    last = F.expr("row_number() over (order by _n desc)")
+    return ranked.filter(F.col("_n") <= keep).drop("_n"), old.withColumn("_m", last).filter(F.col("_m") <= archive).drop("_n", "_m")

@@ -41,7 +41,7 @@ def source_status(articles: DataFrame, sources: DataFrame, since: str, until: st
     undated = F.when(F.col("raw") > 0, (F.col("raw") - F.col("dated")) / F.col("raw")).otherwise(0.0)
     lag = F.greatest(F.lit(0.0), (F.unix_micros(end) - F.unix_micros("newest")) / 86_400_000_000)
     rows = rows.withColumns({"undated_ratio": F.round(undated, 4), "unique_title_ratio": F.when(F.col("raw") > 0, F.round(F.col("titles") / F.col("raw"), 4)).otherwise(1.0), "lag_days": F.round(lag, 2)})
-    parse = F.when(F.col("raw") == 0, "empty").when((F.col("date_policy") != "required") & (undated > UNDATED), "exception").when(undated > UNDATED, "attention").otherwise("healthy")
+    parse = F.when(F.col("raw") == 0, "empty").when(F.col("date_policy") == "unavailable", "exception").when(undated > UNDATED, "attention").otherwise("healthy")
     fresh = F.when(F.col("newest").isNull(), "unknown").when(lag > F.col("freshness_days"), "stale").otherwise("fresh")
     return rows.withColumns({"parse_status": parse, "freshness_status": fresh}).select("source_id", "critical", "raw", "dated", "in_range", "undated_ratio", "unique_title_ratio", F.unix_micros("newest").alias("newest_micros"), "lag_days", "parse_status", "freshness_status")
 
@@ -98,3 +98,20 @@ def state_may_be_written(health: DataFrame, gate: DataFrame) -> DataFrame:
     """One boolean: no gate failed, and no critical source failed or is degraded."""
     bad = health.agg(F.coalesce(F.bool_or(F.col("critical") & (~F.col("success") | (F.col("health_status") == "degraded"))), F.lit(False)).alias("bad"))
     return gate.join(F.broadcast(bad)).select(((F.col("failures") == "") & ~F.col("bad")).alias("eligible"))
+
+
+def error_code(errors: Column, success: Column, transport_ok: Column) -> Column:
+    """The first class of error, empty for a success; a source that answered without rows is PARSE_EMPTY."""
+    has = lambda name: F.coalesce(F.exists(errors, lambda e: F.contains(e, F.lit(name))), F.lit(False))
+    code = F.when(success, "")
+    for name, value in (("RobotsDenied", "ROBOTS_DENIED"), ("RobotsUnavailable", "ROBOTS_UNAVAILABLE"), ("RetryDeferred", "RETRY_DEFERRED"), ("ChallengePage", "HTTP_CHALLENGE")):
+        code = code.when(has(name), value)
+    return code.when(transport_ok, "PARSE_EMPTY").otherwise("FETCH_FAILED")
+
+
+def run_status(health: DataFrame, gate: DataFrame, registry_errors: int = 0, translated: float = 1.0) -> DataFrame:
+    """degraded, attention or complete for a run. health: critical, success, health_status; gate: failures."""
+    failed = ~F.col("success")
+    one = health.agg(F.coalesce(F.bool_or(F.col("critical") & (failed | (F.col("health_status") == "degraded"))), F.lit(False)).alias("hard"), F.coalesce(F.bool_or(failed | F.col("health_status").isin("attention", "degraded")), F.lit(False)).alias("soft"))
+    hard = F.col("hard") | (F.col("failures") != "") | F.lit(registry_errors > 0)
+    return gate.join(F.broadcast(one)).select(F.when(hard, "degraded").when(F.col("soft") | F.lit(translated < 0.95), "attention").otherwise("complete").alias("status"))

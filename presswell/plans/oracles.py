@@ -125,7 +125,7 @@ STATUS = rf"""
     round(CASE WHEN coalesce(raw, 0) > 0 THEN (raw - dated) / raw ELSE 0 END, 4) AS undated_ratio,
     CASE WHEN coalesce(raw, 0) > 0 THEN round(titles / raw, 4) ELSE 1 END AS unique_title_ratio, epoch_us(newest) AS newest_micros,
     round(greatest(0, (epoch_us(TIMESTAMPTZ '{UNTIL}') - epoch_us(newest)) / 86400000000), 2) + CASE WHEN newest IS NULL THEN 0 ELSE 0 END AS lag_days,
-    CASE WHEN coalesce(raw, 0) = 0 THEN 'empty' WHEN date_policy <> 'required' AND (raw - dated) / raw > 0.25 THEN 'exception' WHEN (raw - dated) / raw > 0.25 THEN 'attention' ELSE 'healthy' END AS parse_status,
+    CASE WHEN coalesce(raw, 0) = 0 THEN 'empty' WHEN date_policy = 'unavailable' THEN 'exception' WHEN (raw - dated) / raw > 0.25 THEN 'attention' ELSE 'healthy' END AS parse_status,
     CASE WHEN newest IS NULL THEN 'unknown' WHEN greatest(0, (epoch_us(TIMESTAMPTZ '{UNTIL}') - epoch_us(newest)) / 86400000000) > freshness_days THEN 'stale' ELSE 'fresh' END AS freshness_status
   FROM sources s LEFT JOIN (SELECT source_id, count(*) AS raw, count(published_at) AS dated, max(published_at) AS newest,
       count(*) FILTER (published_at >= TIMESTAMPTZ '{SINCE}' AND published_at < TIMESTAMPTZ '{UNTIL}') AS in_range,

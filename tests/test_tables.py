@@ -66,7 +66,7 @@ SRC = "id string, critical boolean, freshness_days int, date_policy string"
 
 
 def test_status_summary_and_gates(spark):
-    s = spark.createDataFrame([("a", True, 45, "required"), ("b", False, 1, "best_effort"), ("empty", True, 45, "required")], SRC)
+    s = spark.createDataFrame([("a", True, 45, "required"), ("b", False, 1, "unavailable"), ("empty", True, 45, "required")], SRC)
     rowset = [("a", "t1", T0, "high"), ("a", " T1 ", None, ""), ("b", "x", T0 - timedelta(days=40), "low"), ("b", "y", None, None), ("b", None, None, None)]
     a = spark.createDataFrame(rowset, "source_id string, title string, published_at timestamp, date_confidence string")
     st = status.source_status(a, s, "2022-02-15T00:00:00Z", "2022-03-02T00:00:00Z")
@@ -88,6 +88,30 @@ def test_future_dates(spark):
     assert got == sorted([(False, False, False, "high"), (True, True, True, "invalid"), (True, False, True, "invalid"), (False, False, True, None)], key=str)
 
 
+def test_run_status_and_error_codes(spark):
+    h = spark.createDataFrame([(False, True, "healthy"), (False, True, "attention")], "critical boolean, success boolean, health_status string")
+    ok = spark.createDataFrame([("",)], "failures string")
+    assert status.run_status(h, ok).first()[0] == "attention" and status.run_status(h.limit(1), ok).first()[0] == "complete"
+    assert status.run_status(h, ok.replace("", "X")).first()[0] == "degraded" and status.run_status(h.limit(0), ok, translated=0.5).first()[0] == "attention"
+    assert status.state_may_be_written(h, ok).first()[0]
+    e = spark.createDataFrame([(["RobotsDeniedError: x"], False, True), (["ChallengePageError"], False, False), (None, False, True), ([], False, False), (None, True, True)], "e array<string>, s boolean, t boolean")
+    assert [r[0] for r in e.select(status.error_code(F.col("e"), F.col("s"), F.col("t"))).collect()] == ["ROBOTS_DENIED", "HTTP_CHALLENGE", "PARSE_EMPTY", "FETCH_FAILED", ""]
+
+
+def test_discovery_of_directory_links(spark):
+    pages = spark.createDataFrame([("https://dir.eu/list", "<a href='https://new.de/news?x'>New</a><a href='/own'>Own</a><a href='https://www.old.de/other'>Known host</a><a href='https://far.us/'>Far</a><a href='https://new.de/news/'>Again</a>"), ("https://dir.eu/two", "<a href='https://sub.new.de/x'>Sub</a><a href='https://new.de/news'>New</a>"), ("https://dir.eu/none", None)], "url string, body string")
+    domains = spark.createDataFrame([("new.de", 0, "DE"), ("old.de", 1, "DE")], "domain string, pos int, country string")
+    known = spark.createDataFrame([("https://old.de/start",)], "url string")
+    got = {r["url_key"]: (r["country"], r["discovered_from"]) for r in audit.discover(pages, domains, known).collect()}
+    assert got == {"new.de/news": ("DE", ["https://dir.eu/list", "https://dir.eu/two"]), "sub.new.de/x": ("DE", ["https://dir.eu/two"])}
+
+
+def test_kept_profiles(spark):
+    p = spark.createDataFrame([(str(i), i) for i in range(40)], "fingerprint string, updated_at int")
+    kept, archived = health.retained_profiles(p)
+    assert sorted(r["updated_at"] for r in kept.collect()) == list(range(32, 40)) and sorted(r["updated_at"] for r in archived.collect()) == list(range(24))
+
+
 def history(spark, counts, source="s", fails=()):
     return spark.createDataFrame([(source, i, c > 0, c, i in fails) for i, c in enumerate(counts)], "source_id string, at int, success boolean, raw_count int, failed boolean")
 
