@@ -195,7 +195,11 @@ REPORTED = 0.6
 
 _WORD = re.compile(r"[^\W_]+")
 _RUN = re.compile(r"x{2,}")
-_SENTENCES = re.compile(r"[\n\r]+|(?<=[.!?…])\s+|(?<=[.!?…]\])\s+")
+_LINES = re.compile(r"[\n\r]+")
+_ENDING = re.compile(r"[.!?…]\]?\s")
+_SENTENCES = re.compile(r"(?<=[.!?…])\s+|(?<=[.!?…]\])\s+")
+#: Passages whose words a task remembers; boilerplate recurs all the time.
+REMEMBERED = 20_000
 
 
 def _words(text: str) -> list[str]:
@@ -221,8 +225,14 @@ def exemplars() -> list[tuple[int, str, set[str], set[str]]]:
 
 def passages(title: str | None, summary: str | None) -> list[str]:
     """The title, its sentences and those of the summary; equal ones once."""
-    parts = [title or "", *_SENTENCES.split(title or ""), *_SENTENCES.split(summary or "")]
-    return list(dict.fromkeys(p for p in parts if p and not p.isspace()))
+    parts = dict.fromkeys((title,)) if title else {}
+    for text in (title, summary):
+        for line in _LINES.split(text) if text else ():
+            if _ENDING.search(line):
+                parts.update(dict.fromkeys(_SENTENCES.split(line)))
+            else:
+                parts[line] = None
+    return [p for p in parts if p and not p.isspace()]
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,19 +247,25 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for w in cover:
                 index.setdefault(w, []).append(i)
     known = {w for _, _, core, _ in exemplars() for w in core}
+    seen: dict[str, tuple[frozenset, bool, bool]] = {}
     for b in batches:
         df: Counter = Counter()
         ids, texts, marks = [], [], []
         for i, title, summary in zip(b.column("article_id").to_pylist(), b.column("title").to_pylist(), b.column("summary").to_pylist(), strict=True):
             for p in passages(title, summary):
-                words = _words(p)
+                if (found := seen.get(p)) is None:
+                    words = _words(p)
+                    marked = any(c in p for c in "{<%@[_#") and MARK.search(p) is not None
+                    found = (known.intersection(words), marked, marked or _covered(words, index))
+                    if len(seen) < REMEMBERED:
+                        seen[p] = found
                 df[""] += 1
-                df.update(known.intersection(words))
-                marked = any(c in p for c in "{<%@[_#") and MARK.search(p) is not None
-                if marked or _covered(words, index):
+                for w in found[0]:
+                    df[w] += 1
+                if found[2]:
                     ids.append(i)
                     texts.append(p)
-                    marks.append(marked)
+                    marks.append(found[1])
         yield pa.RecordBatch.from_arrays(
             [pa.array([*df, *[None] * len(ids)], pa.string()), pa.array([*df.values(), *[None] * len(ids)], pa.int64()), pa.array([*[None] * len(df), *ids], pa.int64()), pa.array([*[None] * len(df), *texts], pa.string()), pa.array([*[None] * len(df), *marks], pa.bool_())],
             ["word", "n", "article_id", "passage", "marked"],
