@@ -24,7 +24,7 @@ SPELLINGS = {
 SAMPLE = 200
 SEED = 23
 DIMENSIONS = 1 << 13
-CENTROIDS = 3
+CENTROIDS = 2
 ROUNDS = 6
 #: A piece is left undecided when its best language leads by less than so much, or lies farther from it than this cosine.
 LEAD = 0.04
@@ -149,20 +149,23 @@ def fit(rows: list[tuple[str, str | None, str | None]]) -> Model:
     return Model(idf, np.array(weight, np.float32).reshape(-1, DIMENSIONS).T.copy(), np.array(language, int))
 
 
-_SENTENCE = re.compile(r"[\n\r]+|(?<=[.!?…])\s+(?=[^\W\d_]|[\[\"'«„“(©*»-])")
+_LINES = re.compile(r"[\n\r]+")
+_ENDING = re.compile(r"[.!?…]\s")
+_SENTENCE = re.compile(r"(?<=[.!?…])\s+(?=[^\W\d_]|[\[\"'«„“(©*»-])")
 _ORDINAL = re.compile(r"(?:^|\s)\d{1,2}\.$")
 
 
 def split(title: str | None, summary: str | None) -> list[str]:
     """The title, then the sentences of the summary; a day's number with a full stop ends none."""
     out = [title] if title and title.strip() else []
-    for part in _SENTENCE.split(summary or ""):
-        if not part or not part.strip():
-            continue
-        if len(out) > 1 and _ORDINAL.search(out[-1]):
-            out[-1] += " " + part
-        else:
-            out.append(part)
+    for line in _LINES.split(summary) if summary else ():
+        for part in _SENTENCE.split(line) if _ENDING.search(line) else (line,):
+            if not part or part.isspace():
+                continue
+            if len(out) > 1 and out[-1][-1] == "." and out[-1][-2:-1].isdigit() and _ORDINAL.search(out[-1]):
+                out[-1] += " " + part
+            else:
+                out.append(part)
     return out
 
 
