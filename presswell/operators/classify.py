@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from presswell.functions.text import normalise, normalised
 from presswell.operators.lexicon import DEFAULT, TOPICS, Lexicon, Overlay, Term
+from presswell.tables import spread
 
 TEXT = "_text"
 
@@ -50,7 +51,7 @@ def classify(articles: DataFrame, lexicon: Lexicon = DEFAULT, title: str = "titl
     where its topic is new. A null title or summary counts as empty. Each keyword is one literal pattern in one
     projection, so the scan stays a single narrow stage; the text is normalised once.
     """
-    df = articles.withColumn(TEXT, _whole(title, summary))
+    df = spread(articles).withColumn(TEXT, _whole(title, summary))
     text = F.col(TEXT)
     hits = F.array(*[F.array_compact(F.array(*[F.when(contains(text, k), F.lit(k)) for k in r.keywords])) for r in lexicon.rules])
     signs = [_any(text, x.words) for r in lexicon.rules for x in r.signals]

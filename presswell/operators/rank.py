@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from presswell.functions.text import normalise, normalised, tokens
 from presswell.operators.lexicon import DEFAULT, TOPICS, Lexicon
+from presswell.tables import spread, work_table
 
 #: Fixed values.
 K1, B, MINIMUM = 1.2, 0.75, 0.15
@@ -43,11 +44,16 @@ def bm25(docs: DataFrame, query: DataFrame, terms: list[str]) -> DataFrame:
     """id, topic, score: for each document and topic the sum over the topic's terms, added in term order, rounded to 4.
 
     docs: id, words, length. query: topic, term, a small table whose terms are `terms`. Words outside the query never leave
-    the scan; frequencies and sizes are taken over all documents. An empty corpus gives no rows.
+    the scan, which runs once; frequencies and sizes are taken over all documents. An empty corpus gives no rows.
     """
-    tf = term_frequencies(docs, terms)
+    wanted = F.array_union(F.array_intersect("words", F.array(*map(F.lit, terms))), F.array(F.lit("")))
+    count = F.size(F.filter("words", lambda w: w == F.col("term")))
+    # every document has a row under the empty term, which carries its length
+    tf = work_table(docs.select("id", "length", "words", F.explode(wanted).alias("term")).select("id", "length", "term", count.alias("tf")), "tf")
+    sizes = tf.filter("term = ''").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("average"))
+    tf = tf.filter("term != ''")
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    parts = tf.join(F.broadcast(df), "term").join(F.broadcast(query), "term").join(F.broadcast(corpus_size(docs)))
+    parts = tf.join(F.broadcast(df), "term").join(F.broadcast(query), "term").join(F.broadcast(sizes))
     part = idf(F.col("n"), F.col("df")) * saturation(F.col("tf"), F.col("length"), F.col("average"))
     ordered = F.array_sort(F.collect_list(F.struct("term", part.alias("part"))))
     return parts.groupBy("id", "topic").agg(ordered.alias("parts")).select("id", "topic", F.round(F.aggregate("parts", F.lit(0.0), lambda a, p: a + p["part"]), 4).alias("score"))
@@ -85,8 +91,9 @@ def rank(articles: DataFrame, modules: DataFrame | None = None, lexicon: Lexicon
         rows = rows.withColumn("topics", F.when(F.col("allowed").isNull(), F.col("topics")).otherwise(F.array_intersect("topics", "allowed")))
     else:
         rows = rows.withColumn("owners", F.lit(None).cast("map<string,string>"))
-    rows = rows.withColumn("boolean_score", F.when(F.size("topics") > 0, F.col("score")).otherwise(0))
-    docs = rows.select(F.col("article_id").alias("id"), document_tokens(F.col("title"), F.col("summary")).alias("words")).withColumn("length", F.size("words"))
+    # the rows are needed twice, and what classified them should run once
+    rows = work_table(rows.withColumn("boolean_score", F.when(F.size("topics") > 0, F.col("score")).otherwise(0)), "rows")
+    docs = spread(rows.select("article_id", "title", "summary")).select(F.col("article_id").alias("id"), document_tokens(F.col("title"), F.col("summary")).alias("words")).withColumn("length", F.size("words"))
     by_topic = topic_terms(lexicon)
     query = spark.createDataFrame([(t, w) for t, ws in by_topic.items() for w in ws], "topic string, term string")
     scores = bm25(docs, query, sorted({w for ws in by_topic.values() for w in ws}))

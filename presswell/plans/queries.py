@@ -15,7 +15,7 @@ from presswell.operators.periods import calendar_day_column, resolve_period
 from presswell.plans import pipeline
 from presswell.sinks import articles as sink
 from presswell.sources import config, feeds, listings
-from presswell.tables import read_table
+from presswell.tables import read_table, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 SINCE, UNTIL, OBSERVED = "2022-02-01T00:00:00Z", "2022-03-01T00:00:00Z", "2022-03-01T00:00:00Z"
@@ -49,7 +49,7 @@ def _joined(*values: Column) -> list[Column]:
 
 def flagship_bm25(s: SparkSession, d: str) -> DataFrame:
     words = t.tokens(F.lower(F.coalesce("text", F.lit(""))))
-    docs = read_table(s, d, "documents").select(F.col("doc_id").alias("id"), words.alias("words")).withColumn("length", F.size("words"))
+    docs = spread(read_table(s, d, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("id"), words.alias("words")).withColumn("length", F.size("words"))
     query = s.createDataFrame([(k, w) for k, ws in FLAGSHIP.items() for w in ws], "topic string, term string")
     scores = rank.bm25(docs, query, [w for ws in FLAGSHIP.values() for w in ws])
     return scores.filter(F.col("score") >= rank.MINIMUM).select(F.col("id").alias("doc_id"), "topic", "score")

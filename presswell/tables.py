@@ -37,6 +37,16 @@ def work_table(df: DataFrame, name: str, partitions: int | None = None) -> DataF
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, before a narrow pass that costs much per row.
+
+    Only an input of fewer parts than cores is moved, such as one small file; anything larger already keeps them busy.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    parts = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if 0 < parts < cores else df
+
+
 def drop_work_tables(spark: SparkSession) -> None:
     """Remove what work_table has left in the shared folder."""
     jvm = spark._jvm
