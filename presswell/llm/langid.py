@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from presswell.llm.everyday import SENTENCES
+from presswell.tables import spread
 
 LANGUAGES = ("en", "de", "fr", "es", "it", "nl", "pl", "sv")
 #: Other spellings of the codes.
@@ -257,7 +258,7 @@ def languages(articles: DataFrame, model: Model | None = None) -> DataFrame:
     language, has one row with a null language and confidence 0; it is never called mislabelled. Repeated rows repeat.
     """
     model = model or fit(training_rows(articles))
-    return articles.select("article_id", label(F.col("language")).alias("code"), "title", "summary").mapInArrow(_classifier(model), "article_id long, seg_no int, lang_code string, confidence double, segments int, mislabelled boolean")
+    return spread(articles.select("article_id", label(F.col("language")).alias("code"), "title", "summary")).mapInArrow(_classifier(model), "article_id long, seg_no int, lang_code string, confidence double, segments int, mislabelled boolean")
 
 
 def mislabelled(articles: DataFrame, model: Model | None = None) -> DataFrame:

@@ -25,42 +25,29 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
     spaces: dict[int, list[tuple[int, int]]] = defaultdict(list)
     slots, opened = [], 0
 
-    def fill(length: int, rank: int, n: int, first: int, each: int) -> None:
+    def fill(length: int, rank: int, n: int, first: int, each: int, space: int) -> None:
         slots.append((length, rank, n * each, first, each))
-        if (left := capacity - used[0] - each * length) > 0:
+        if (left := space - each * length) > 0:
             spaces[left].append((first, n))
 
-    used = [0]
     for length in sorted((x for x, n in counts.items() if n > 0 and 0 < x <= capacity), reverse=True):
         rank, todo = 0, counts[length]
         for space in sorted(s for s in spaces if s >= length):
-            each = space // length
             while todo and spaces[space]:
                 first, n = spaces[space].pop()
-                used[0] = capacity - space
+                each = min(space // length, todo)
                 take = min(n, todo // each)
                 if take < n:
-                    spaces[space].append((first + max(take, 1), n - max(take, 1)))
-                    if n == max(take, 1):
-                        spaces[space].pop()
-                if take:
-                    fill(length, rank, take, first, each)
-                    rank, todo = rank + take * each, todo - take * each
-                else:
-                    fill(length, rank, 1, first, todo)
-                    rank, todo = rank + todo, 0
+                    spaces[space].append((first + take, n - take))
+                fill(length, rank, take, first, each, space)
+                rank, todo = rank + take * each, todo - take * each
             if not spaces[space]:
                 del spaces[space]
-            if not todo:
-                break
-        used[0] = 0
-        each = capacity // length
-        if n := todo // each:
-            fill(length, rank, n, opened, each)
+        while todo:
+            each = min(capacity // length, todo)
+            n = todo // each
+            fill(length, rank, n, opened, each, capacity)
             rank, todo, opened = rank + n * each, todo - n * each, opened + n
-        if todo:
-            fill(length, rank, 1, opened, todo)
-            opened += 1
     return slots
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from presswell.tables import work_table
+from presswell.tables import spread, work_table
 
 #: Labelled exemplars. What editors leave, what servers say, what scriptless pages ask for.
 FILLER = """
@@ -300,7 +300,7 @@ def residue(articles: DataFrame) -> DataFrame:
     summaries have no passages; a null article_id keeps its rows.
     """
     spark = articles.sparkSession
-    scan = work_table(articles.select("article_id", "title", "summary").mapInArrow(_scan, "word string, n long, article_id long, passage string, marked boolean"), "residue")
+    scan = work_table(spread(articles.select("article_id", "title", "summary")).mapInArrow(_scan, "word string, n long, article_id long, passage string, marked boolean"), "residue")
     df = {r["word"]: r["n"] for r in scan.filter("word is not null").groupBy("word").agg(F.sum("n").alias("n")).collect()}  # one row per word of the exemplars
     found = scan.filter("passage is not null").select("article_id", "passage", "marked", _passage_words("passage", "marked").alias("words"))
     found = work_table(found, "retrieved")

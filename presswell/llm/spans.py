@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from presswell.llm import recompress as rc
-from presswell.tables import work_table
+from presswell.tables import spread, work_table
 
 LENGTH = 4 * rc.HALF
 #: Keys that more occurrences share are refined to keys of the whole length before any pair is formed.
@@ -129,7 +129,7 @@ def shared_stretches(documents: DataFrame, hot: int = HOT, reach: int = REACH) -
     texts = documents.filter((F.length("text") >= LENGTH) & F.col("doc_id").isNotNull()).select("doc_id", "text")
     classes = work_table(text_classes(texts), "classes")
     single = texts.join(classes.filter("rep != doc_id").select("doc_id"), "doc_id", "left_anti")
-    rows = work_table(single.mapInArrow(_anchor_rows, "key long, doc long, pos int"), "anchors")
+    rows = work_table(spread(single).mapInArrow(_anchor_rows, "key long, doc long, pos int"), "anchors")
     counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = work_table(rows.join(counts, "key"), "met")
     usual = _meetings(met.filter(F.col("n") <= hot).select("key", "doc", "pos"))

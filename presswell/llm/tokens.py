@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from presswell.tables import public_tokenizer
+from presswell.tables import public_tokenizer, spread
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Fixed value: how the vocabulary's texts are cut before merging.
@@ -41,4 +41,4 @@ def token_counts(documents: DataFrame, keep: list[str], vocabulary: str = VOCABU
     """The columns `keep` and `tokens` of each document; a null or empty text has 0 tokens. Whole texts are read."""
     kinds = dict(documents.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", tokens long"
-    return documents.select(*keep, "text").mapInArrow(_counter(public_tokenizer(vocabulary), keep), schema)
+    return spread(documents.select(*keep, "text")).mapInArrow(_counter(public_tokenizer(vocabulary), keep), schema)
