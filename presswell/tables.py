@@ -17,12 +17,17 @@ def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return df.withColumns(naive) if naive else df
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='presswell-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = f"file://{tempfile.mkdtemp(prefix='presswell-')}"
+        folder = _own[app]
     return folder.rstrip("/")
 
 
