@@ -15,9 +15,14 @@ ROUNDS = 40
 RUN = 1 << 20
 
 
+def utc_day(ts: Column) -> Column:
+    """The calendar day of an instant in UTC, whatever the session's zone."""
+    return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.unix_micros(ts) / 86_400_000_000).cast("int"))
+
+
 def title_key(title: Column, published_at: Column, local_date: Column | None = None) -> Column:
     """Normalised title and local day; null without title or date."""
-    day = published_at.cast("date").cast("string")
+    day = utc_day(published_at).cast("string")
     if local_date is not None:
         day = F.coalesce(F.nullif(local_date, F.lit("")), day)
     return F.when((F.coalesce(title, F.lit("")) != "") & published_at.isNotNull(), F.concat_ws("\u0001", normalised(title), day))

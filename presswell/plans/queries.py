@@ -218,7 +218,7 @@ def serial_numbers(s: SparkSession, d: str) -> DataFrame:
 
 def dedupe_entities(s: SparkSession, d: str) -> DataFrame:
     a = _articles(s, d)
-    day = F.col("published_at").cast("date").cast("string")
+    day = dedupe.utc_day(F.col("published_at")).cast("string")
     title = F.when((F.coalesce("title", F.lit("")) != "") & F.col("published_at").isNotNull(), F.concat_ws("|", F.lower("title"), day))
     keyed = a.select(F.col("article_id").alias("ord"), F.regexp_replace(F.lower(F.trim("url")), "[?#].*$", "").alias("url_key"), title.alias("title_key"))
     return dedupe.entities(keyed).select(F.col("ord").alias("article_id"), "entity")
