@@ -167,7 +167,7 @@ def core_oracles() -> dict[str, str]:
       c AS ({_classified()}), m AS (SELECT id AS source_id, {allowed} AS allowed, 'AI ' || country AS ai, name AS nis FROM sources WHERE country IN ('EU', 'DE', 'FR', 'IE', 'AT')),
       r AS (SELECT c.article_id, c.score, CASE WHEN allowed IS NULL THEN topics ELSE list_filter(topics, lambda x: list_contains(allowed, x)) END AS topics, allowed IS NOT NULL AS own, ai, nis FROM c LEFT JOIN m USING (source_id)),
       b AS (SELECT article_id, max(coalesce(s.score, 0)) AS bm25 FROM (SELECT article_id, unnest(topics) AS topic FROM r) x LEFT JOIN scores s ON s.id = x.article_id AND s.topic = x.topic GROUP BY article_id)
-      SELECT article_id, array_to_string(topics, '|') AS topics, score AS boolean_score, bm25,
+      SELECT article_id, array_to_string(topics, '|') AS topics, CAST(score AS INTEGER) AS boolean_score, bm25,
         coalesce(nullif(array_to_string(list_sort(list_filter([CASE WHEN own AND list_contains(topics, 'AI') THEN ai END, CASE WHEN own AND list_contains(topics, 'NIS2') THEN nis END], lambda x: x IS NOT NULL)), '|'), ''), '未設定') AS owners,
         {CONFIDENCE} AS confidence
       FROM r JOIN b USING (article_id) WHERE len(topics) > 0 AND score > 0 AND bm25 >= 0.15"""
@@ -202,7 +202,7 @@ def core_oracles() -> dict[str, str]:
         "source_status": STATUS,
         "run_summary": f"SELECT count(*) AS sources, count(*) FILTER (raw > 0) AS with_rows, count(*) FILTER (parse_status = 'empty') AS empty, count(*) FILTER (parse_status = 'attention') AS attention, count(*) FILTER (parse_status = 'healthy') AS healthy, count(*) FILTER (freshness_status = 'fresh') AS fresh, count(*) FILTER (freshness_status = 'stale') AS stale, count(*) FILTER (critical) AS critical, CAST(sum(raw) AS BIGINT) AS raw, CAST(sum(dated) AS BIGINT) AS dated, CAST(sum(in_range) AS BIGINT) AS in_range FROM ({STATUS})",
         "date_quality": f"{QUALITY_CTE} {QUALITY}",
-        "quality_gate": f"""{QUALITY_CTE}, s AS ({STATUS}), g AS (SELECT 1.0 AS source_rate, avg(CASE WHEN parse_status NOT IN ('empty', 'failed', 'not_run') THEN 1 ELSE 0 END) AS parse_rate, count(*) FILTER (parse_status = 'empty') AS empty_sources,
+        "quality_gate": f"""{QUALITY_CTE}, s AS ({STATUS}), g AS (SELECT CAST(1 AS DOUBLE) AS source_rate, avg(CASE WHEN parse_status NOT IN ('empty', 'failed', 'not_run') THEN 1 ELSE 0 END) AS parse_rate, count(*) FILTER (parse_status = 'empty') AS empty_sources,
             sum(dated) / sum(raw) AS date_rate, avg(CASE WHEN critical THEN CASE WHEN raw > 0 THEN dated / raw ELSE 0 END END) AS critical_rate FROM s), h AS ({QUALITY})
           SELECT source_rate, round(parse_rate, 6) AS parse_rate, round(date_rate, 6) AS date_rate, round(critical_rate, 6) AS critical_rate, round(high_rate, 6) AS high_rate, empty_sources,
             array_to_string(list_filter([CASE WHEN parse_rate < 0.95 THEN 'PARSE_SUCCESS_RATE_LOW' END, CASE WHEN empty_sources > 0 THEN 'EMPTY_SOURCE_LIMIT_EXCEEDED' END, CASE WHEN date_rate < 0.75 THEN 'OVERALL_DATE_RATE_LOW' END, CASE WHEN critical_rate < 0.95 THEN 'CRITICAL_DATE_RATE_LOW' END, CASE WHEN high_rate < 0.75 THEN 'HIGH_CONFIDENCE_DATE_RATE_LOW' END], lambda x: x IS NOT NULL), ',') AS failures FROM g, h""",
