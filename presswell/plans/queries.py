@@ -391,30 +391,33 @@ def settings_fingerprints(s: SparkSession, d: str) -> DataFrame:
 
 
 def _escaped(c: Column) -> Column:
-    return F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    """Text as XML and HTML can hold it, in an attribute as well; a carriage return needs a reference, or it reads as a line feed."""
+    out = F.coalesce(c, F.lit(""))
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("'", "&#39;"), ("\r", "&#13;")):
+        out = F.replace(out, F.lit(sign), F.lit(name))
+    return out
 
 
-def _plain_articles(s: SparkSession, d: str) -> DataFrame:
-    """Articles whose texts hold no markup, so that what is parsed can be compared with what was written."""
-    a = _articles(s, d)
-    return a.filter(~F.concat_ws(" ", "title", "summary", "url").rlike("[<>&\\x00-\\x1f]") & (F.coalesce("title", F.lit("")) != "")).select("source_id", F.trim("url").alias("url"), "title", "summary")
+def _titled_articles(s: SparkSession, d: str) -> DataFrame:
+    """All articles that a feed or page can list, as they were scraped: those with a title."""
+    return _articles(s, d).filter(F.coalesce("title", F.lit("")) != "").select("source_id", "url", "title", "summary")
 
 
 def rss_items(s: SparkSession, d: str) -> DataFrame:
     item = F.concat(F.lit("<rss version='2.0'><channel><title>f</title><item><title>"), _escaped(F.col("title")), F.lit("</title><link>"), _escaped(F.col("url")), F.lit("</link><pubDate>Fri, 25 Feb 2022 14:08:35 +0100</pubDate><description>"), _escaped(F.col("summary")), F.lit("</description></item></channel></rss>"))
-    landed = _plain_articles(s, d).select("source_id", F.lit("https://feed.example/rss").alias("url"), item.alias("body"))
+    landed = _titled_articles(s, d).select("source_id", F.lit("https://feed.example/rss").alias("url"), item.alias("body"))
     return feeds.rss(landed).groupBy("source_id", "url", "title", "summary", "raw_date").agg(F.count(F.lit(1)).alias("n"))
 
 
 def wordpress_posts(s: SparkSession, d: str) -> DataFrame:
     post = F.struct(F.struct(F.col("title").alias("rendered")).alias("title"), F.struct(F.col("summary").alias("rendered")).alias("excerpt"), F.col("url").alias("link"), F.lit("2022-02-25T13:08:35").alias("date_gmt"))
-    landed = _plain_articles(s, d).select("source_id", F.lit("https://feed.example/json").alias("url"), F.to_json(F.array(post)).alias("body"))
+    landed = _titled_articles(s, d).select("source_id", F.lit("https://feed.example/json").alias("url"), F.to_json(F.array(post)).alias("body"))
     return feeds.wordpress(landed).groupBy("source_id", "url", "title", "summary", "raw_date").agg(F.count(F.lit(1)).alias("n"))
 
 
 def listing_cards(s: SparkSession, d: str) -> DataFrame:
     card = F.concat(F.lit("<html><body><nav><a href='/x'>navigation link</a></nav><main><article><h2><a href='"), _escaped(F.col("url")), F.lit("'>"), _escaped(F.col("title")), F.lit("</a></h2><time datetime='2022-02-25T13:00:00Z'>25.02.2022</time><p>"), _escaped(F.col("summary")), F.lit("</p></article></main></body></html>"))
-    landed = _plain_articles(s, d).select("source_id", F.lit("https://page.example/news").alias("url"), card.alias("body"))
+    landed = _titled_articles(s, d).select("source_id", F.lit("https://page.example/news").alias("url"), card.alias("body"))
     return listings.parse_listings(landed, _sources(s, d)).groupBy("source_id", "url", "title", "date_source").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -39,7 +39,7 @@ def looks_like_json(body: Column) -> Column:
 
 
 def _rows(items: DataFrame, kind: str, via: str) -> DataFrame:
-    out = items.withColumns({"title": text_of(F.col("title")), "summary": text_of(F.col("summary")), "date_source": F.lit(kind), "date_confidence": F.lit("high"), "fetched_via": F.concat(F.lit(f"{via}:"), F.col("page"))})
+    out = items.withColumns({"url": strip(F.col("url")), "title": text_of(F.col("title")), "summary": text_of(F.col("summary")), "date_source": F.lit(kind), "date_confidence": F.lit("high"), "fetched_via": F.concat(F.lit(f"{via}:"), F.col("page"))})
     return out.filter((F.col("title") != "") & (F.coalesce("url", F.lit("")) != "")).select(*COLUMNS)
 
 
