@@ -1,4 +1,4 @@
-"""The two composed flows: a collection run over landed payloads, and a search over a saved corpus."""
+"""The two composed flows: a collection run over parsed articles and their date candidates, and a search over a saved corpus."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ from presswell.operators.health import interval_coverage
 from presswell.operators.lexicon import DEFAULT, Lexicon, Overlay
 from presswell.operators.periods import Period
 from presswell.operators.rank import MINIMUM, rank, relevant
-from presswell.operators.relations import containing, output_order
+from presswell.operators.relations import DATE_SOURCES, containing, date_choice, output_order
 from presswell.operators.status import date_quality, in_range, quality_gate, source_status, without_future
 from presswell.tables import work_table
 
@@ -38,6 +38,25 @@ def dated(items: DataFrame, sources: DataFrame) -> DataFrame:
     return read.withColumn("published_at", F.timestamp_micros("utc_micros")).withColumn("date_confidence", F.when(F.col("utc_micros").isNull(), "low").otherwise(F.col("date_confidence")))
 
 
+def resolved(articles: DataFrame, candidates: DataFrame, sources: DataFrame) -> DataFrame:
+    """articles whose missing published_at is the chosen one of their date candidates, with that candidate's confidence.
+
+    Where none of the candidates can be read, the confidence is low. Known dates stay, and their candidates are not read.
+    """
+    undated = articles.filter("published_at is null").select("article_id")
+    own = candidates.join(undated, "article_id", "left_semi")
+    zones = sources.select(F.col("id").alias("source_id"), F.col("timezone").alias("zone")).dropDuplicates(["source_id"])
+    read = normalised_dates(own, sources).join(zones, "source_id", "left")
+    sure = read.select("candidate_id", F.col("confidence").alias("_sure")).dropDuplicates(["candidate_id"])
+    chosen = date_choice(read, DATE_SOURCES).join(sure, "candidate_id", "left").select("article_id", F.timestamp_micros("utc_micros").alias("_at"), "_sure")
+    tried = read.filter(F.trim("raw_value") != "").select("article_id").distinct()
+    found = tried.join(chosen, "article_id", "left").select(F.col("article_id").alias("_id"), "_at", F.when(F.col("_at").isNull(), "low").otherwise(F.col("_sure")).alias("_sure"))
+    found = work_table(found, "resolved")
+    open_ = F.col("published_at").isNull() & F.col("_id").isNotNull()
+    rows = articles.join(found, F.col("article_id") == F.col("_id"), "left")
+    return rows.withColumns({"published_at": F.coalesce("published_at", "_at"), "date_confidence": F.when(open_, F.col("_sure")).otherwise(F.col("date_confidence"))}).select(*articles.columns)
+
+
 def analysed(articles: DataFrame, lexicon: Lexicon = DEFAULT, profile: Overlay | None = None) -> DataFrame:
     """Articles with topics, scores, kind of content and level of authority."""
     out = classify(articles, lexicon)
@@ -48,7 +67,7 @@ def analysed(articles: DataFrame, lexicon: Lexicon = DEFAULT, profile: Overlay |
 
 
 def collect(articles: DataFrame, sources: DataFrame, period: Period, observed: str, modules: DataFrame | None = None, lexicon: Lexicon = DEFAULT, profile: Overlay | None = None, limits: dict[str, float] | None = None) -> Run:
-    """Merge, classify and rank parsed articles; statistics cover all of them, the selection only the period."""
+    """Merge, classify and rank parsed articles, their dates resolved; statistics cover all of them, the selection only the period."""
     since, until = period.since.isoformat(), period.until.isoformat()
     clean = without_future(articles, F.lit(observed).cast("timestamp"))
     status = source_status(clean, sources, since, until)

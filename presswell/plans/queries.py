@@ -430,8 +430,12 @@ def article_lines(s: SparkSession, d: str) -> DataFrame:
 # composed
 
 
+def _resolved(s: SparkSession, d: str) -> DataFrame:
+    return pipeline.resolved(_articles(s, d), read_table(s, d, "date_candidates"), _sources(s, d))
+
+
 def search_results(s: SparkSession, d: str) -> DataFrame:
-    a = _articles(s, d)
+    a = _resolved(s, d)
     corpus = a.select("source_id", "country", "source_name", "institution_type", "language", "title", "summary", "url", sink.iso(F.col("published_at")).alias("published_at"), F.lit("corpus").alias("file"), F.col("article_id").alias("line"))
     ids = [r["id"] for r in _sources(s, d).filter("country in ('EU', 'DE', 'IE')").select("id").collect()]
     out = pipeline.search(corpus, resolve_period("2022-02-01", "2022-02-28"), ids, _modules(s, d))
@@ -439,7 +443,7 @@ def search_results(s: SparkSession, d: str) -> DataFrame:
 
 
 def collection_run(s: SparkSession, d: str) -> DataFrame:
-    run = pipeline.collect(_articles(s, d), _sources(s, d), resolve_period("2022-02-01", "2022-02-28"), OBSERVED, _modules(s, d), limits=LIMITS)
+    run = pipeline.collect(_resolved(s, d), _sources(s, d), resolve_period("2022-02-01", "2022-02-28"), OBSERVED, _modules(s, d), limits=LIMITS)
     return run.selected.select("article_id", "source_id", "title", "url", F.array_join("topics", "|").alias("topics"), "boolean_score", "bm25", "content_kind")
 
 
