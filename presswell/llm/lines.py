@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from presswell.functions.text import letters_and_digits, letters_only
+from presswell.tables import work_table
 
 #: A line recurs when it stands in this share of the rows of its source and under at least so many titles.
 MIN_SHARE = 0.05
@@ -65,10 +68,49 @@ def recurring(lines: DataFrame, counts: DataFrame, min_share: float = MIN_SHARE,
     return few.groupBy("source_id", "line_key").agg(F.count(F.lit(1)).alias("titles")).filter(F.col("titles") >= min_titles).select("source_id", "line_key")
 
 
+def line_titles(lines: DataFrame, min_titles: int = MIN_TITLES) -> DataFrame:
+    """source_id, line_key, title_key: of each line the distinct titles, at most min_titles of them.
+
+    More play no part, so that the kept titles of several batches, united and cut again, still tell whether a line has enough.
+    """
+    each = lines.select("source_id", "line_key", "title_key").distinct()
+    return each.withColumn("_k", F.expr("row_number() over (partition by source_id, line_key order by title_key)")).filter(F.col("_k") <= min_titles).drop("_k")
+
+
+@dataclass(frozen=True)
+class LineState:
+    """What is kept between batches: the count table, the titles of each line, and where each line stands."""
+
+    counts: DataFrame
+    titles: DataFrame
+    lines: DataFrame
+
+
+def folded(before: LineState | None, batch: DataFrame, min_share: float = MIN_SHARE, min_titles: int = MIN_TITLES) -> tuple[LineState, DataFrame, DataFrame]:
+    """The state after a batch, and article_id, line_no of the lines to add to and to take from what was found before.
+
+    Summaries of earlier batches aren't read again: lines that the batch lets recur, or no longer recur, are joined to the
+    stored lines. After any batch, all that was added less all that was taken is what repeated_lines finds in all batches.
+    """
+    lines = work_table(numbered_lines(batch), "lines")
+    counts, titles, stored = line_delta(batch), lines, lines.drop("title_key")
+    if before is not None:
+        counts, titles, stored = merge_counts(before.counts, counts), before.titles.unionByName(lines.select(*before.titles.columns)), before.lines.unionByName(stored)
+    after = LineState(work_table(counts, "counts"), work_table(line_titles(titles, min_titles), "titles"), stored)
+    on = ["source_id", "line_key"]
+    at = lambda rows, keys: rows.join(keys, on, "left_semi").select("article_id", "line_no")
+    now = work_table(recurring(after.titles, after.counts, min_share, min_titles), "recurring")
+    if before is None:
+        return after, at(lines, now), at(lines, now).limit(0)
+    was = work_table(recurring(before.titles, before.counts, min_share, min_titles), "recurring")
+    return after, at(lines, now).unionByName(at(before.lines, now.join(was, on, "left_anti"))), at(before.lines, was.join(now, on, "left_anti"))
+
+
 def repeated_lines(articles: DataFrame, history: DataFrame | None = None, min_share: float = MIN_SHARE, min_titles: int = MIN_TITLES) -> DataFrame:
     """article_id, line_no of every recurring line of these articles.
 
-    history: the count table of what came before, if the articles are a new batch. Null summaries have no lines, null
+    history: the count table of what came before, if the articles are a new batch. It has no titles, so that those of the
+    batch alone decide; folded keeps them, and finds the lines of earlier batches as well. Null summaries have no lines, null
     titles count as one empty title, a null source_id matches nothing. Repeated article rows count.
     """
     lines = numbered_lines(articles)
