@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -204,7 +205,8 @@ def stretches(pieces: list[tuple[int, bool, float, bool]]) -> list[tuple[int, fl
 
 
 def _long(piece: str) -> bool:
-    return sum(map(str.isalpha, piece[: 4 * SHORT])) >= SHORT
+    """Whether a piece has SHORT letters, wherever they stand; no more of it is read than that takes."""
+    return next(islice(filter(str.isalpha, piece), SHORT - 1, None), None) is not None
 
 
 def label(code: Column) -> Column:
