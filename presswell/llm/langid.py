@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from presswell.llm.everyday import SENTENCES
 from presswell.tables import spread
 
 LANGUAGES = ("en", "de", "fr", "es", "it", "nl", "pl", "sv")
@@ -25,7 +24,7 @@ SPELLINGS = {
 #: Rows per language that the classifier is fitted on; all other steps read all rows.
 SAMPLE = 200
 SEED = 23
-DIMENSIONS = 1 << 13
+DIMENSIONS = 1 << 14
 CENTROIDS = 2
 ROUNDS = 6
 #: A piece is left undecided when its best language leads by less than so much, or lies farther from it than this cosine.
@@ -36,6 +35,10 @@ NEAR = 0.04
 #: Letters below which a training piece is left out, and below which a sentence decides only where no longer piece does.
 LETTERS = 4
 SHORT = 25
+#: By how much a stretch's language must lie nearer than that beside it, in one of its pieces at least; a piece of fewer
+#: letters than FULL counts in proportion, since the cosines of a short piece vary more.
+OPEN = 0.1
+FULL = 80
 
 
 def _table() -> np.ndarray:
@@ -54,7 +57,7 @@ _LOWER: list[np.ndarray] = []
 
 
 def grams(pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Piece, hashed letter trigram and count of every trigram of the pieces, sorted by piece."""
+    """Piece, hashed feature and count of every letter trigram and every whole word of the pieces, sorted by piece."""
     if not _LOWER:
         _LOWER.append(_table())
     joined = "\0 " + " \0 ".join(p.replace("\0", " ") for p in pieces) + " "
@@ -64,11 +67,27 @@ def grams(pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     a, b, c = codes[:-2], codes[1:-1], codes[2:]
     whole = (a != 0) & (b != 0) & (c != 0)
     h = ((a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA77)) ^ (c * np.uint32(0xC2B2AE3D))) * np.uint32(0x27D4EB2F)
-    key = owner[2:][whole].astype(np.int64) * DIMENSIONS + (h[whole] >> np.uint32(19)).astype(np.int64)
+    key = owner[2:][whole].astype(np.int64) * DIMENSIONS + (h[whole] >> np.uint32(18)).astype(np.int64)
+    letter = (codes != 0) & (codes != 32)
+    first = np.flatnonzero(letter & ~np.append(False, letter[:-1]))
+    if len(first):
+        # a word's hash: its letters, each times a power of its place
+        place = np.arange(len(codes)) - np.repeat(np.append(0, first), np.diff(np.append(np.append(0, first), len(codes))))
+        value = np.where(letter, codes, 0).astype(np.uint64) * _power(int(place.max()) + 1)[place]
+        word = np.add.reduceat(value, first) * np.uint64(0x9E3779B97F4A7C15)
+        word = (word ^ (word >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        key = np.append(key, owner[first].astype(np.int64) * DIMENSIONS + (word >> np.uint64(50)).astype(np.int64))
     key, count = np.unique(key, return_counts=True)
     return key // DIMENSIONS, key % DIMENSIONS, count.astype(np.float32)
 
 
+def _power(n: int) -> np.ndarray:
+    """Powers of an odd number modulo 2^64."""
+    out = np.full(n, 0xD6E8FEB86659FD93, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
 @dataclass
 class Model:
     """Inverse document frequencies and unit centroids: weight has one column per centroid, language its language's number."""
@@ -107,11 +126,15 @@ def _vectors(pieces: list[str], idf: np.ndarray) -> np.ndarray:
 def fit(rows: list[tuple[str, str | None, str | None]]) -> Model:
     """A model from (language, title, summary).
 
-    Labels may be wrong: a first centroid per language comes from the labels, pieces that lie nearer to another language
-    are dropped until nothing changes, and what is left of each language is clustered into a few centroids. Everyday
-    sentences give each of these languages one centroid more.
+    Labels may be wrong: a piece has the label that more than half of its rows have; a first centroid per language comes
+    from these, pieces that lie clearly nearer to another language are dropped until nothing changes, and what is left of
+    each language is clustered into a few centroids.
     """
-    labelled = sorted({(LANGUAGES.index(code), p) for code, title, summary in rows for p in split(title, summary) if len(p) >= LETTERS})
+    votes: dict[str, Counter] = {}
+    for code, title, summary in rows:
+        for p in {p for p in split(title, summary) if len(p) >= LETTERS}:
+            votes.setdefault(p, Counter())[LANGUAGES.index(code)] += 1
+    labelled = sorted((k, p) for p, v in votes.items() for k, n in v.items() if 2 * n > v.total())
     label, pieces = np.array([k for k, _ in labelled], int), [p for _, p in labelled]
     frequency = np.zeros(DIMENSIONS)
     if pieces:
@@ -125,8 +148,8 @@ def fit(rows: list[tuple[str, str | None, str | None]]) -> Model:
             if own:
                 c = _vectors(own, idf).sum(axis=0)
                 centre[:, k] = c / max(float(np.linalg.norm(c)), 1e-9)
-        nearest = Model(idf, centre, np.arange(len(LANGUAGES))).cosines(pieces).argmax(axis=1) if pieces else label
-        if (fresh := nearest == label).tolist() == keep.tolist():
+        scores = Model(idf, centre, np.arange(len(LANGUAGES))).cosines(pieces)
+        if (fresh := scores.max(axis=1, initial=0) - scores[np.arange(len(pieces)), label] < LEAD).tolist() == keep.tolist():
             break
         keep = fresh
     weight, language = [], []
@@ -143,11 +166,6 @@ def fit(rows: list[tuple[str, str | None, str | None]]) -> Model:
             c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
         weight.extend(c)
         language.extend([k] * len(c))
-    for k, code in enumerate(LANGUAGES):
-        if k in language:
-            c = _vectors(split(None, SENTENCES[code]), idf).sum(axis=0)
-            weight.append(c / max(float(np.linalg.norm(c)), 1e-9))
-            language.append(k)
     return Model(idf, np.array(weight, np.float32).reshape(-1, DIMENSIONS).T.copy(), np.array(language, int))
 
 
@@ -171,42 +189,72 @@ def split(title: str | None, summary: str | None) -> list[str]:
     return out
 
 
-def decisions(cosines: np.ndarray) -> tuple[list[int], list[bool], list[float]]:
-    """Per piece: its nearest language, whether it decides, and that language's share in the sum of the cosines."""
-    if not len(cosines):
-        return [], [], []
+def letters(pieces: list[str]) -> np.ndarray:
+    """How many letters each piece has, wherever they stand."""
+    if not _LOWER:
+        _LOWER.append(_table())
+    codes = _LOWER[0][np.frombuffer("".join(f"{p}\0" for p in (x.replace("\0", " ") for x in pieces)).encode("utf-16-le", "surrogatepass"), np.uint16)]
+    return np.bincount(np.cumsum(codes == 0)[codes > 32], minlength=len(pieces) + 1)[: len(pieces)]
+
+
+@dataclass(slots=True)
+class Piece:
+    """What one piece says: cosines by language, the nearest language, whether it decides, its share, and how much it counts."""
+
+    cosines: list[float]
+    language: int
+    sure: bool
+    share: float
+    weight: float
+    long: bool
+
+
+def judged(pieces: list[str], cosines: np.ndarray) -> list[Piece]:
+    """Per piece its nearest language, whether it decides, and that language's share in the sum of the cosines."""
+    if not pieces:
+        return []
     best = cosines.argmax(axis=1)
     two = np.partition(cosines, -2, axis=1)[:, -2:]
     sure = (two[:, 1] >= LEAST) & (two[:, 1] - two[:, 0] >= LEAD)
     share = np.where(two[:, 1] >= NEAR, two[:, 1] / np.maximum(cosines.sum(axis=1), 1e-9), 0.0)
-    return best.tolist(), sure.tolist(), share.tolist()
+    n = letters(pieces)
+    return list(map(Piece, cosines.tolist(), best.tolist(), sure.tolist(), share.tolist(), np.minimum(1.0, n / FULL).tolist(), (n >= SHORT).tolist()))
 
 
-def stretches(pieces: list[tuple[int, bool, float, bool]]) -> list[tuple[int, float]]:
-    """(language, confidence) of the maximal stretches of one text, from (language, sure, share, long) of its pieces.
+def stretches(pieces: list[Piece]) -> list[tuple[int, float]]:
+    """(language, confidence) of the maximal stretches of one text.
 
     Undecided pieces belong to the piece before them, or to the next where none is before; a short one never opens a
-    stretch beside longer ones. Confidence is the mean share of a stretch's pieces. Where no piece decides, the clearest one
-    speaks for the whole text, if it is near any language at all; [] if none is.
+    stretch beside longer ones. Neighbouring pieces in one language make a run; as long as there is a run none of whose
+    pieces lies nearer to its own language than to a neighbour's by OPEN, the weakest such run joins that neighbour.
+    Confidence is the mean share of a stretch's pieces. Where no piece decides, the clearest one speaks for the whole text,
+    if it is near any language at all; [] if none is.
     """
-    deciding = [p for p in pieces if p[1]]
+    deciding = [p for p in pieces if p.sure]
     if not deciding:
-        k, _, share, _ = max(pieces, key=lambda p: p[2], default=(-1, False, 0.0, False))
-        return [(k, round(share, 4))] if share > 0 else []
-    if any(p[3] for p in deciding):
-        deciding = [p for p in deciding if p[3]]
-    runs: list[tuple[int, list[float]]] = []
-    for k, _, share, _ in deciding:
-        if runs and runs[-1][0] == k:
-            runs[-1][1].append(share)
+        clearest = max(pieces, key=lambda p: p.share, default=None)
+        return [(clearest.language, round(clearest.share, 4))] if clearest and clearest.share > 0 else []
+    if any(p.long for p in deciding):
+        deciding = [p for p in deciding if p.long]
+    runs: list[tuple[int, list[Piece]]] = []
+    for p in deciding:
+        if runs and runs[-1][0] == p.language:
+            runs[-1][1].append(p)
         else:
-            runs.append((k, [share]))
-    return [(k, round(sum(v) / len(v), 4)) for k, v in runs]
-
-
-def _long(piece: str) -> bool:
-    """Whether a piece has SHORT letters, wherever they stand; no more of it is read than that takes."""
-    return next(islice(filter(str.isalpha, piece), SHORT - 1, None), None) is not None
+            runs.append((p.language, [p]))
+    while len(runs) > 1:
+        by = lambda i, j: max(p.weight * (p.cosines[runs[i][0]] - p.cosines[runs[j][0]]) for p in runs[i][1])
+        lead, i, j = min((by(i, j), i, j) for i in range(len(runs)) for j in (i - 1, i + 1) if 0 <= j < len(runs))
+        if lead >= OPEN:
+            break
+        joined = (runs[j][0], runs[min(i, j)][1] + runs[max(i, j)][1])
+        runs[min(i, j) : max(i, j) + 1] = [joined]
+        # what now meets on both sides in one language is one run
+        k = min(i, j)
+        for a in (k, k - 1):
+            if 0 <= a < len(runs) - 1 and runs[a][0] == runs[a + 1][0]:
+                runs[a : a + 2] = [(runs[a][0], runs[a][1] + runs[a + 1][1])]
+    return [(k, round(sum(p.share for p in ps) / len(ps), 4)) for k, ps in runs]
 
 
 def label(code: Column) -> Column:
@@ -238,7 +286,7 @@ def _classifier(model: Model):
             step = 4000
             for i in range(0, len(pieces), step):
                 scores[i : i + step] = model.cosines(pieces[i : i + step])
-            known_pieces = list(zip(*decisions(scores), map(_long, pieces), strict=True))
+            known_pieces = judged(pieces, scores)
             columns: list[list] = [[], [], [], [], [], []]
             for i, code, where in zip(ids, codes, at, strict=True):
                 found = stretches([known_pieces[k] for k in where])
