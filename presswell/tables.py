@@ -21,9 +21,11 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder every executor sees: spark.checkpoint.dir. Where it is unset, a temporary one, on one machine alone (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that every executor sees")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = f"file://{tempfile.mkdtemp(prefix='presswell-')}"
@@ -45,11 +47,14 @@ def work_table(df: DataFrame, name: str, partitions: int | None = None) -> DataF
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores, before a narrow pass that costs much per row.
 
-    Only an input of fewer parts than cores is moved, such as one small file; anything larger already keeps them busy.
+    Only an input of fewer parts than cores is moved, such as one small file; anything larger already keeps them busy. A
+    plan with a shuffle in it is left to adaptive execution: counting its parts would run it.
     """
+    plan = df._jdf.queryExecution()
+    if plan.executedPlan().toString().startswith("AdaptiveSparkPlan"):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    parts = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df.repartition(cores) if 0 < parts < cores else df
+    return df.repartition(cores) if 0 < plan.toRdd().getNumPartitions() < cores else df
 
 
 def drop_work_tables(spark: SparkSession) -> None:
