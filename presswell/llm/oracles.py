@@ -39,10 +39,12 @@ def _pages() -> str:
 
 
 def _history() -> str:
-    return f"""WITH {_pages()},
+    return f"""WITH RECURSIVE {_pages()},
       k AS (SELECT source_id, host, path, query, signs, tongue, min({{'b': batch_no, 'i': article_id}}) AS first FROM z GROUP BY ALL),
-      n AS (SELECT a.source_id, a.host, a.path, a.query, min(b.first) AS first FROM k a JOIN k b ON a.source_id = b.source_id AND a.host = b.host AND a.query = b.query AND a.signs = b.signs AND a.tongue = b.tongue
-        WHERE a.path = b.path OR (abs(length(a.path) - length(b.path)) <= 2 AND levenshtein(a.path, b.path) <= 2) GROUP BY ALL)
+      e AS (SELECT a.first AS u, b.first AS v FROM k a JOIN k b ON a.source_id = b.source_id AND a.host = b.host AND a.query = b.query AND a.signs = b.signs AND a.tongue = b.tongue
+        WHERE a.path <> b.path AND abs(length(a.path) - length(b.path)) <= 2 AND levenshtein(a.path, b.path) <= 2),
+      r AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u),
+      n AS (SELECT k.source_id, host, path, query, least(k.first, coalesce(m.v, k.first)) AS first FROM k LEFT JOIN (SELECT u, min(v) AS v FROM r GROUP BY u) m ON m.u = k.first)
       SELECT DISTINCT n.first.i AS accepted_id, article_id FROM z JOIN n USING (source_id, host, path, query) WHERE z.batch_no > n.first.b"""
 
 

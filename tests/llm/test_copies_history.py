@@ -1,5 +1,9 @@
+import re
 from itertools import combinations
 
+import pytest
+from pyspark.sql import functions as F
+
 from presswell.llm import copies, history
 from presswell.tables import read_table
 
@@ -88,27 +92,53 @@ def test_history_takes_the_earliest_batch_and_smallest_id(spark):
     assert history.seen_before(make(spark, [])).count() == 0
 
 
-def test_a_batch_against_the_appended_table(spark):
+def test_a_batch_against_the_appended_tables(spark):
     old = make(spark, [(1, 0, "s", "t", "https://a.example/news/first-page-here-1001"), (2, 0, "s", "t", "https://a.example/x-1")])
-    new = make(spark, [(3, 1, "s", "t", "https://a.example/news/first-pagee-here-1001"), (4, 1, "s", "t", "https://a.example/y-2")])
-    history.append_history(spark, history.hash_table(old), "page_history", 4)
-    assert rows(history.seen_before(new, spark.table("page_history"))) == [(1, 3)]
-    spark.sql("drop table page_history")
-
-
-def test_pieces_lose_no_pair_within_two_letters(spark):
+    new = make(spark, [(3, 1, "s", "t", "https://a.example/news/first-pagee-here-1001"), (4, 1, "s", "t", "https://a.example/y-2"), (5, 1, "s", "t", "https://a.example/x-1")])
+    past = history.History(spark, "page_history", 4)
+    assert history.accept(past, history.page_rows(old)).count() == 0
+    assert rows(history.accept(past, history.page_rows(new))) == [(1, 3), (2, 5)]
+    assert past.read("pages").count() == past.read("parts").count() == 4  # only fresh pages are appended
+    # the same through the public function, with the history of what came before
+    last = make(spark, [(9, 2, "s", "t", "https://a.example/y-2"), (8, 2, "s", "t", "https://a.example/news/irst-pagee-here-1001")])
+    assert rows(history.seen_before(last, past)) == [(1, 8), (4, 9)]
+    past.drop()
+    assert past.read("pages") is None
+
+
+def test_spellings_that_later_pages_join(spark):
+    word = "https://a.example/news/competent-committee-1001"
+    one, other = word.replace("compet", "xompex"), word.replace("committee", "kommittex")  # two letters from word, four from each other
+    values = [(1, 0, "s", "t", one), (2, 1, "s", "t", other), (3, 2, "s", "t", word), (4, 3, "s", "t", other), (5, 3, "s", "t", other.replace("news", "newz")), (6, 4, "s", "t", word)]
+    assert rows(history.seen_before(make(spark, values))) == [(1, 3), (1, 4), (1, 5), (1, 6)]
+
+
+def distance(x, y):
+    row = list(range(len(y) + 1))
+    for i, c in enumerate(x, 1):
+        row, last = [i], row
+        for j, e in enumerate(y, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (c != e)))
+    return row[-1]
+
+
+@pytest.mark.parametrize("few", [1, 4, 1000])
+def test_near_pages_lose_no_pair_and_meet_few(spark, few):
     words = ["alpha", "beta", "gamma", "delta"]
     paths = ["/".join(["", *words])] + ["/".join(["", *words[:i], words[i][1:], *words[i + 1 :]]) for i in range(4)] + ["/xlpha/bxta/gamma/delta", "/alpha/beta/gaxma/dexta"]
-    a = make(spark, [(i, i, "s", "t", "https://a.example" + p) for i, p in enumerate(paths)])
-
-    def distance(x, y):
-        row = list(range(len(y) + 1))
-        for i, c in enumerate(x, 1):
-            row, last = [i], row
-            for j, e in enumerate(y, 1):
-                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (c != e)))
-        return row[-1]
-
-    near = {(i, j) for i, j in combinations(range(len(paths)), 2) if distance(paths[i], paths[j]) <= 2}
-    want = sorted((min(i for i, k in near if k == j), j) for j in {k for _, k in near})
-    assert rows(history.seen_before(a)) == want
+    paths += [f"/news/{a}{b}rk/{b}{a}st" for a in "aeiou" for b in "bcdfg"] + ["/a", "/b", "/abc", "/abcd"]
+    table = spark.createDataFrame([(i, i % 3 > 0, "s", "h", p, "") for i, p in enumerate(paths)], "page long, fresh boolean, source_id string, host string, path string, query string")
+    table = table.withColumn("skeleton", F.xxhash64("source_id", "host", "query", history._skeleton(F.col("path"))))
+    got = {tuple(sorted(r)) for r in history.near_pages(table, few).collect()}
+    signs = [re.sub(r"[a-z]", "", p) for p in paths]
+    assert got == {(i, j) for i, j in combinations(range(len(paths)), 2) if signs[i] == signs[j] and (i % 3 or j % 3) and distance(paths[i], paths[j]) <= 2}
+
+
+def test_a_hot_site_without_numbers_has_no_quadratic_block(spark):
+    # pages that share host, first word and signs: without finer keys all pairs of them would be candidates
+    table = spark.range(3000).select(F.col("id").alias("page"), F.lit(True).alias("fresh"), F.lit("s").alias("source_id"), F.lit("h").alias("host"), F.lit("").alias("query"), F.concat(F.lit("/news/"), F.translate(F.substring(F.md5(F.col("id").cast("string")), 1, 9), "0123456789", "ghijklmnop"), F.lit("/"), F.translate(F.substring(F.md5(F.col("id").cast("string")), 12, 9), "0123456789", "qrstuvwxyz")).alias("path"))
+    keys = history._deleted(F.regexp_replace("path", "[^a-z]", ""))
+    table = table.withColumn("skeleton", F.lit(1).cast("long"))
+    block = table.select("page", F.explode(keys).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    assert block.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] < 3000
+    assert history.near_pages(table).count() == 0
