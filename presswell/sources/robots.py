@@ -1,62 +1,77 @@
-"""Decisions of robots files: merged groups, the longest rule wins, allowing wins ties."""
+"""Decisions of robots files by RFC 9309: merged groups, the longest rule wins, allowing wins ties."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from urllib.parse import quote, urlsplit
+from itertools import groupby
+from urllib.parse import urlsplit
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
 TOKEN = "presswell"
-#: Fixed value: signs that never need percent-encoding.
-PLAIN = {*"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~"}
+#: A line of a robots file: a field name, a colon, a value, and perhaps a comment.
+_FIELD = re.compile(r"^\s*([A-Za-z-]+)\s*:\s*([^#]*?)\s*(?:#.*)?$", re.MULTILINE)
+_DECIMAL = re.compile(r"\d+(?:\.\d+)?")
+_OCTET = re.compile(rb"%([0-9A-Fa-f]{2})|(.)", re.DOTALL)
+#: Fixed value: the octets that mean the same whether escaped or not (RFC 3986, unreserved).
+UNRESERVED = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~")
+STAR, END = -1, -2
 
 
-def encoded(path: str) -> str:
-    """path with one way of writing each sign: unreserved ones plain, others as capital escapes."""
-    out = quote(path, safe="/%*?$&=:+,;@!()[]-._~")
-    return re.sub(r"%([0-9a-fA-F]{2})", lambda m: c if (c := chr(int(m[1], 16))) in PLAIN else f"%{m[1].upper()}", out)
+def octets(path: str) -> list[int]:
+    """path as octets, each written in one way: below 256 as it stands, from 256 on escaped. Octets outside ASCII count as escaped."""
+    out = []
+    for escaped, plain in _OCTET.findall(path.encode("utf-8", "surrogatepass")):
+        value = int(escaped, 16) if escaped else plain[0]
+        out.append(value if value in UNRESERVED or (not escaped and value < 128) else 256 + value)
+    return out
 
 
-def rules(text: str, token: str = TOKEN) -> tuple[list[tuple[bool, str]], float]:
+def pattern(value: str) -> list[int]:
+    """A rule's path as octets, with STAR for any stretch and END for a closing dollar sign."""
+    closed = value.endswith("$")
+    signs = [STAR if o == ord("*") else o for o in octets(value[:-1] if closed else value)]
+    return [*signs, END] if closed else signs
+
+
+def matches(rule: list[int], target: list[int]) -> bool:
+    """Whether target begins with rule, a star standing for any stretch; the last star alone is ever tried again."""
+    i = j = 0
+    star, resume = -1, 0
+    while i < len(rule):
+        if rule[i] == STAR:
+            star, resume, i = i, j, i + 1
+        elif (rule[i] == END and j == len(target)) or (j < len(target) and rule[i] == target[j]):
+            i, j = i + 1, j + (rule[i] != END)
+        elif star >= 0 and resume < len(target):
+            i, j, resume = star + 1, resume + 1, resume + 1
+        else:
+            return False
+    return True
+
+
+def rules(text: str, token: str = TOKEN) -> tuple[list[tuple[bool, list[int]]], float]:
     """(allow, pattern) of all groups that name the token, else of those for everyone; and the longest crawl delay."""
-    groups: list[dict] = []
-    open_group = False
-    for line in text.lstrip("\ufeff").splitlines():
-        key, colon, value = line.split("#", 1)[0].partition(":")
-        key, value = key.strip().casefold(), value.strip()
-        if not colon:
-            continue
-        if key == "user-agent":
-            if not groups or not open_group:
-                groups.append({"agents": set(), "rules": [], "delay": 0.0})
-                open_group = True
-            groups[-1]["agents"].add(value.casefold())
-        elif groups and key in ("allow", "disallow", "crawl-delay"):
-            open_group = False
-            if key == "crawl-delay":
-                if re.fullmatch(r"\d+(?:\.\d+)?", value):
-                    groups[-1]["delay"] = max(groups[-1]["delay"], float(value))
-            elif value.startswith("/"):
-                groups[-1]["rules"].append((key == "allow", encoded(value)))
-    mine = [g for g in groups if token.casefold() in g["agents"]] or [g for g in groups if "*" in g["agents"]]
-    return [r for g in mine for r in g["rules"]], max((g["delay"] for g in mine), default=0.0)
-
-
-def allows(policy: list[tuple[bool, str]], url: str) -> bool:
-    p = urlsplit(url)
-    if p.path == "/robots.txt":
-        return True
-    target = encoded((p.path or "/") + (f"?{p.query}" if p.query else ""))
-    best = (-1, True)
-    for allow, pattern in policy:
-        body = pattern.removesuffix("$")
-        expression = "".join(".*" if c == "*" else re.escape(c) for c in body) + ("$" if pattern.endswith("$") else "")
-        if re.match(expression, target):
-            best = max(best, (len(re.sub("%[0-9A-F]{2}", "x", body.replace("*", ""))), allow))
-    return best[1]
+    fields = [(k.casefold(), v) for k, v in _FIELD.findall(text.lstrip("\ufeff"))]
+    fields = [f for f in fields if f[0] in ("user-agent", "allow", "disallow", "crawl-delay")]
+    runs = [(agents, [v if agents else (k, v) for k, v in run]) for agents, run in groupby(fields, lambda f: f[0] == "user-agent")]
+    if runs and not runs[0][0]:
+        del runs[0]  # rules before any agent belong to nobody
+    groups = [({a.casefold() for a in runs[i][1]}, runs[i + 1][1] if i + 1 < len(runs) else []) for i in range(0, len(runs), 2)]
+    named = [g for agents, g in groups if token.casefold() in agents] or [g for agents, g in groups if "*" in agents]
+    lines = [line for g in named for line in g]
+    delays = [float(v) for k, v in lines if k == "crawl-delay" and _DECIMAL.fullmatch(v)]
+    return [(k == "allow", pattern(v)) for k, v in lines if k != "crawl-delay" and v.startswith("/")], max(delays, default=0.0)
+
+
+def allows(policy: list[tuple[bool, list[int]]], url: str) -> bool:
+    """The decision of the most specific rule, by octets; the robots file itself is always allowed."""
+    at = urlsplit(url)
+    target = octets(f"{at.path or '/'}?{at.query}" if at.query else at.path or "/")
+    weights = {(sum(o >= 0 for o in rule), allow) for allow, rule in policy if matches(rule, target)}
+    return at.path == "/robots.txt" or max(weights, default=(0, True))[1]
 
 
 def decisions(urls: DataFrame, files: DataFrame, token: str = TOKEN) -> DataFrame:
