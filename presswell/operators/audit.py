@@ -114,3 +114,8 @@ def discover(pages: DataFrame, domains: DataFrame, known: DataFrame) -> DataFram
     fresh = declared.withColumn("_bare", bare).join(hosts, "_bare", "left_anti").withColumn("url_key", identity_key(F.col("link")))
     first = F.min(F.struct("page", "pos", "link", "label", "country")).alias("r")
     return fresh.groupBy("url_key").agg(first, F.array_sort(F.collect_set("page")).alias("discovered_from")).select("url_key", F.col("r.link").alias("url"), "r.label", "r.country", "discovered_from")
+
+
+def audited(sources: DataFrame, limit: int | None = None) -> DataFrame:
+    """The sources that an audit looks at: all, or the first `limit` in the order of their ids."""
+    return sources if limit is None else sources.orderBy("id").limit(limit)

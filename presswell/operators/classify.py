@@ -95,6 +95,7 @@ def _emitted(lexicon: Lexicon, hits: Column, signs: Column) -> list[Column]:
     for i, r in enumerate(lexicon.rules):
         hit = F.size(hits[i]) > 0
         out += [F.when(hit, F.lit(t)) for t in r.topics]
+        out += [F.when(F.arrays_overlap(hits[i], F.array(*map(F.lit, s.words))), F.lit(s.topic)) for s in r.by_hit]
         own = [signs[at + j] for j in range(len(r.signals))]
         out += [F.when(hit & x, F.lit(r.signals[j].topic)) for j, x in enumerate(own)]
         if r.default:

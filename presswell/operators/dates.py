@@ -19,19 +19,22 @@ RESERVED = ("source_key", "signature", "readings", "notation", "posterior", "amb
 #: Rounds of expectation-maximisation, and the count that every notation of a source starts with.
 ROUNDS = 10
 PRIOR = 0.5
+#: A sign before a notation that the source's declarations speak against: its likelihood is `doubt` instead of 1.
+AGAINST = "!"
 
 
 def _one(raw: str | None, zone: str | None, home: str | None, formats: tuple[str, ...], order: str | None) -> tuple[str, dict]:
     tz = zone_of(zone) or zone_of(home)
     found = {n: at for n, wall, off in readings(raw, formats) if (at := instant(wall, off, tz)) is not None or n}
     wanted = (order or "").strip().upper() or "DMY"
-    # an interpretation that nothing declares has no likelihood
+    # what decides first is declared; every other reading is against a declaration
     tiers = ({"iso", "epoch"}, {n for n in found if n.startswith("fmt:")}, {"text"}, {wanted})
-    kept = next(({n: found[n] for n in t if n in found} for t in tiers if t & found.keys()), {})
+    declared = next((t & found.keys() for t in tiers if t & found.keys()), set())
+    valid = {n if n in declared else AGAINST + n: at for n, at in found.items()}
     groups: dict = {}
-    for n, at in sorted(kept.items()):
+    for n, at in sorted(valid.items()):
         groups.setdefault(at, []).append(n)
-    return " | ".join(sorted(" = ".join(g) for g in groups.values())), kept
+    return " | ".join(sorted(" = ".join(g) for g in groups.values())), valid
 
 
 @F.pandas_udf(READ)
@@ -42,37 +45,47 @@ def read_dates(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFram
         yield pd.DataFrame(rows, columns=["signature", "readings"])
 
 
-def mixture(stats: pd.DataFrame, rounds: int = ROUNDS, prior: float = PRIOR, decide_above: float = 1.0) -> pd.DataFrame:
+def mixture(stats: pd.DataFrame, rounds: int = ROUNDS, prior: float = PRIOR, decide_above: float = 1.0, doubt: float = 0.0) -> pd.DataFrame:
     """Expectation-maximisation over the notations of one source.
 
-    stats: source_key, signature, n. Each value spreads its count over the notations it can be read in, in proportion to
-    their weights in the source; the weights follow from the counts. A signature whose notations give different instants
-    stays ambiguous unless one posterior is above decide_above; at 1, the default, it always does.
+    stats: source_key, signature, n. The likelihood of a valid reading is 1 where the source's declarations ask for its
+    notation and `doubt` where they speak against it. Each value spreads its count over its readings in proportion to
+    weight times likelihood; the weights of the notations follow from the counts. An instant is chosen if its posterior
+    reaches decide_above. At 1, with no doubt, that means: all readings that may be true give this instant. Everything else
+    is ambiguous; a signature without any likely reading is unread.
     """
+    plain = lambda n: n.removeprefix(AGAINST)
+    likely = lambda n: doubt if n.startswith(AGAINST) else 1.0
     sides = {s: [g.split(" = ") for g in s.split(" | ")] for s in stats["signature"]}
-    names = sorted({n for gs in sides.values() for g in gs for n in g})
+    names = sorted({plain(n) for gs in sides.values() for g in gs for n in g})
     weight = dict.fromkeys(names, 1.0 / max(1, len(names)))
     counts = dict(zip(stats["signature"], stats["n"], strict=True))
     for _ in range(rounds):
         mass = dict.fromkeys(names, prior)
         for s, gs in sides.items():
-            valid = [n for g in gs for n in g]
-            total = sum(weight[n] for n in valid)
-            for n in valid:
-                mass[n] += counts[s] * weight[n] / total
+            share = {n: weight[plain(n)] * likely(n) for g in gs for n in g}
+            total = sum(share.values())
+            for n, w in share.items():
+                mass[plain(n)] += counts[s] * w / total if total else 0.0
         whole = sum(mass.values())
         weight = {n: m / whole for n, m in mass.items()}
     out = []
     for s, gs in sides.items():
-        total = sum(weight[n] for g in gs for n in g)
-        p, best = max((sum(weight[n] for n in g) / total, g) for g in gs)
-        out.append((stats["source_key"].iloc[0], s, max(best, key=weight.get), p, len(gs) > 1 and not p > decide_above))
-    return pd.DataFrame(out, columns=["source_key", "signature", "notation", "posterior", "ambiguous"])
+        share = [(sum(weight[plain(n)] * likely(n) for n in g), g) for g in gs]
+        total = sum(w for w, _ in share)
+        w, best = max(share)
+        notation = max(best, key=lambda n: (likely(n) > 0, weight[plain(n)])) if total else None
+        p = w / total if total else None
+        out.append((stats["source_key"].iloc[0], s, notation, p, bool(total) and p < decide_above - 1e-12))
+    return pd.DataFrame(out, columns=["source_key", "signature", "notation", "posterior", "ambiguous"]).astype({"notation": object, "posterior": "float64", "ambiguous": bool})
 
 
-def normalised_dates(candidates: DataFrame, sources: DataFrame, decide_above: float = 1.0) -> DataFrame:
+def normalised_dates(candidates: DataFrame, sources: DataFrame, decide_above: float = 1.0, doubt: float = 0.0) -> DataFrame:
     """candidates with utc_micros, notation, posterior and ambiguous.
 
+    An instant is the posterior's choice (mixture). By default a declaration is certain and an instant must be, too; a
+    source whose declarations are missing or wrong takes doubt above 0 and decide_above below 1.
+
     Values are parsed once, in Arrow batches; only (source, signature, count) reaches the mixture fit, a table bounded by
     the formats of a source and not by its rows. utc_micros is null for a null, blank or unreadable value, an unresolved
     ambiguity, a skipped local time, or a value without any zone; posterior and notation are null where nothing can be
@@ -84,9 +97,9 @@ def normalised_dates(candidates: DataFrame, sources: DataFrame, decide_above: fl
     read = candidates.join(home, F.col("source_id") == F.col("_id"), "left").withColumn("_read", read_dates("raw_value", "timezone", "_home", "_formats", "_order"))
     read = work_table(read.select(*candidates.columns, key, "_read.signature", "_read.readings"), "dates")
     stats = read.filter("signature != ''").groupBy("source_key", "signature").agg(F.count(F.lit(1)).alias("n"))
-    fit = stats.groupBy("source_key").applyInPandas(lambda g: mixture(g, decide_above=decide_above), MIXTURE)
+    fit = stats.groupBy("source_key").applyInPandas(lambda g: mixture(g, decide_above=decide_above, doubt=doubt), MIXTURE)
     chosen = F.when(~F.col("ambiguous"), F.element_at("readings", F.col("notation")))
-    return read.join(fit, ["source_key", "signature"], "left").withColumn("utc_micros", chosen).drop("source_key", "signature", "readings")
+    return read.join(fit, ["source_key", "signature"], "left").withColumn("utc_micros", chosen).withColumn("notation", F.regexp_replace("notation", f"^{AGAINST}", "")).drop("source_key", "signature", "readings")
 
 
 def format_mixture(candidates: DataFrame, sources: DataFrame) -> DataFrame:

@@ -51,6 +51,8 @@ def entities(keyed: DataFrame) -> DataFrame:
         tree = new.select("node", "root")
         if new.filter("moved").isEmpty():
             break
+    else:
+        raise RuntimeError(f"entities are not settled after {ROUNDS} rounds")
     return rows.join(tree, F.col("head") == F.col("node")).select("ord", F.col("root").alias("entity"))
 
 
@@ -67,32 +69,51 @@ def _latest_before(rows: DataFrame) -> DataFrame:
     return inside.join(ends, ["t", "run"]).select("ord", "head", F.coalesce("up", "carried").alias("up"))
 
 
-def _ordered_union(rows: DataFrame, values: Column, name: str) -> DataFrame:
+def _ordered_union(rows: DataFrame, values: Column, name: str, texts: bool = True) -> DataFrame:
     """entity and the distinct values in order of first appearance; equal values collapse before they are gathered."""
-    each = rows.select("entity", "ord", F.posexplode(values).alias("pos", "v")).filter("v is not null and v != ''")
+    each = rows.select("entity", "ord", F.posexplode(values).alias("pos", "v")).filter("v is not null and v != ''" if texts else "v is not null")
     first = each.groupBy("entity", "v").agg(F.min(F.struct("ord", "pos")).alias("at"))
     return first.groupBy("entity").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda s: s["v"]).alias(name))
 
 
+#: What identifies a date candidate.
+CANDIDATE = ("raw_value", "utc_micros", "date_source", "timezone")
+
+
 def merged(articles: DataFrame, order: str = "article_id") -> DataFrame:
     """One row per entity: its first row's source, url and language, the first known date, the longest title and summary,
     and the ordered unions of finders and other addresses. Null lists count as empty; ties go to the earlier row.
+
+    Where the articles have them: the highest score, the ordered unions of topics and keywords, and the date candidates
+    (an array of structs with the fields of CANDIDATE), each once, `selected` where it is the chosen date. Only ids and keys
+    go through the search for entities; whole rows are joined and written once.
     """
-    keyed = articles.withColumn("ord", F.col(order)).withColumn("_canonical", canonical_url("url"))
-    keyed = work_table(keyed, "keyed")
-    groups = entities(keyed.select("ord", F.col("_canonical").alias("url_key"), title_key(F.col("title"), F.col("published_at")).alias("title_key")))
-    rows = work_table(keyed.join(groups, "ord"), "grouped")
+    ord_ = F.col(order).alias("ord")
+    keyed = work_table(articles.select(ord_, canonical_url("url").alias("_canonical"), title_key(F.col("title"), F.col("published_at")).alias("title_key")), "keyed")
+    groups = entities(keyed.select("ord", F.col("_canonical").alias("url_key"), "title_key"))
+    rows = work_table(articles.withColumn("ord", F.col(order)).join(groups.join(keyed.drop("title_key"), "ord"), "ord"), "grouped")
     longest = lambda c: F.max(F.struct(F.length(F.coalesce(c, F.lit(""))).alias("n"), (-F.col("ord")).alias("o"), F.coalesce(c, F.lit("")).alias("v")))["v"].alias(c)
     first = lambda c: F.min_by(c, "ord").alias(c)
-    dated = F.min(F.when(F.col("published_at").isNotNull(), F.struct("ord", "published_at", "date_confidence")))
-    out = rows.groupBy("entity").agg(*map(first, ("source_id", "country", "language", "url", "_canonical")), longest("title"), longest("summary"), dated.alias("_date"), F.count(F.lit(1)).alias("rows"))
+    known = [c for c in ("date_source", "raw_value") if c in articles.columns]
+    dated = F.min(F.when(F.col("published_at").isNotNull(), F.struct("ord", "published_at", "date_confidence", *known)))
+    best = [F.max("score").alias("score")] if "score" in articles.columns else []
+    out = rows.groupBy("entity").agg(*map(first, ("source_id", "country", "language", "url", "_canonical")), longest("title"), longest("summary"), dated.alias("_date"), F.count(F.lit(1)).alias("rows"), *best)
     finders = _ordered_union(rows, F.when(F.coalesce(F.size("discovered_by"), F.lit(0)) > 0, F.col("discovered_by")).otherwise(F.array("source_id")), "discovered_by")
     head = out.select(F.col("entity").alias("_e"), F.col("url").alias("_url"), F.col("_canonical").alias("_head"))
     none = F.array().cast("array<string>")
     others = rows.join(head, F.col("entity") == F.col("_e")).withColumn("_all", F.concat(F.coalesce("alternate_urls", none), F.when(F.col("_canonical") != F.col("_head"), F.array("url")).otherwise(none)))
     others = _ordered_union(others, F.array_remove(F.array_compact("_all"), F.coalesce(F.col("_url"), F.lit(""))), "alternate_urls")
     out = out.join(finders, "entity", "left").join(others, "entity", "left")
-    return out.select("entity", "rows", "source_id", "country", "language", "title", "url", F.col("_date.published_at").alias("published_at"), F.col("_date.date_confidence").alias("date_confidence"), "summary", F.coalesce("discovered_by", none).alias("discovered_by"), F.coalesce("alternate_urls", none).alias("alternate_urls"))
+    lists = [c for c in ("topics", "keywords") if c in articles.columns]
+    for c in lists:
+        out = out.join(_ordered_union(rows, F.col(c), c), "entity", "left")
+    more = [F.coalesce(c, none).alias(c) for c in lists] + [F.col(f"_date.{c}").alias(c) for c in known] + [F.col("score") for _ in best]
+    if "date_candidates" in articles.columns:
+        fields = lambda c: F.struct(*[c[f].alias(f) for f in CANDIDATE])
+        out = out.join(_ordered_union(rows, F.transform("date_candidates", fields), "_candidates", texts=False), "entity", "left")
+        chosen = lambda c: F.coalesce(c["utc_micros"] == F.unix_micros("_date.published_at"), F.lit(False)) & (F.coalesce(c["date_source"] == F.col("_date.date_source"), F.lit(False)) if "date_source" in known else F.lit(True)) & (F.coalesce(c["raw_value"] == F.col("_date.raw_value"), F.lit(False)) if "raw_value" in known else F.lit(True))
+        more.append(F.transform("_candidates", lambda c: F.struct(*[c[f].alias(f) for f in CANDIDATE], chosen(c).alias("selected"))).alias("date_candidates"))
+    return out.select("entity", "rows", "source_id", "country", "language", "title", "url", F.col("_date.published_at").alias("published_at"), F.col("_date.date_confidence").alias("date_confidence"), "summary", F.coalesce("discovered_by", none).alias("discovered_by"), F.coalesce("alternate_urls", none).alias("alternate_urls"), *more)
 
 
 def first_wins(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 from pathlib import Path
 
 #: Topic names by short code.
@@ -37,7 +37,10 @@ class Signal:
 
 @dataclass(frozen=True)
 class Rule:
-    """Keywords of one weight. A hit emits `topics`; signals, where given, decide on the whole text, with a default."""
+    """Keywords of one weight. A hit emits `topics`; signals, where given, decide on the whole text, with a default.
+
+    by_hit gives a topic to the hits themselves: it is emitted when one of its words is among them.
+    """
 
     name: str
     weight: int
@@ -45,6 +48,7 @@ class Rule:
     topics: tuple[str, ...] = ()
     signals: tuple[Signal, ...] = ()
     default: str | None = None
+    by_hit: tuple[Signal, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -79,8 +83,7 @@ DEFAULT = Lexicon(
         Rule("certification", 4, ("cybersecurity act", "cybersecurity certification", "certification de cybersécurité", "eucc"), ("CERT",)),
         Rule("nis2", 4, ("nis2", "nis 2", "nis-2-richtlinie", "essential entities", "entités essentielles", "wesentliche einrichtungen"), ("NIS2",)),
         Rule("critical", 2, ("critical entities resilience", "critical infrastructure", "critical networks", "infrastructures critiques", "réseaux critiques", "kritische netze"), ("NIS2",)),
-        Rule("vulnerability", 2, ("sbom", "vulnerability", "vulnérabilité", "schwachstelle", "product safety"), ("PRODUCT",)),
-        Rule("supply", 2, ("supply chain", "chaînes d'approvisionnement", "lieferketten"), ("SUPPLY",)),
+        Rule("chain", 2, ("sbom", "vulnerability", "vulnérabilité", "schwachstelle", "product safety", "supply chain", "chaînes d'approvisionnement", "lieferketten"), by_hit=(Signal("PRODUCT", ("sbom", "vulnerability", "vulnérabilité", "schwachstelle", "product safety")), Signal("SUPPLY", ("supply chain", "chaînes d'approvisionnement", "lieferketten")))),
         Rule("incident", 1, ("cyber incident", "incident reporting", "notification des incidents", "meldung von störfällen", "ransomware"), ("NIS2",)),
         Rule("ai", 1, ("artificial intelligence", "intelligence artificielle", "künstliche intelligenz", "ai act"), ("AI",)),
         Rule("data", 1, ("data protection", "open data", "digital identity", "data transfers", "gdpr", "protection des données", "identité numérique", "datenschutz", "digitaler ausweis"), (), (Signal("IDENTITY", ("identity", "identité", "ausweis")), Signal("PRIVACY", ("data protection", "gdpr", "protection des données", "datenschutz")), Signal("DATA", ("open data", "data transfers"))), "DATA"),
@@ -123,6 +126,39 @@ class Overlay:
     digest: str = field(default="", compare=False)
 
 
+def load_lexicon(path: str | Path) -> Lexicon:
+    """A lexicon from JSON, schema 1: rules and guarded short forms in their order, topics by code or by name.
+
+    Rejected are unknown topics, empty words, weights below 1, a rule name used twice and a rule that can emit nothing.
+    """
+    payload = json.loads(Path(path).read_text(encoding="utf-8-sig"))
+    if payload.get("schema_version") != 1:
+        raise ValueError("unsupported lexicon header")
+    code = {**{k: k for k in TOPICS}, **{v: k for k, v in TOPICS.items()}}
+
+    def topic(name: str) -> str:
+        if name not in code:
+            raise ValueError(f"unknown topic: {name!r}")
+        return code[name]
+
+    def words(values: list[str]) -> tuple[str, ...]:
+        if not values or not all(isinstance(v, str) and v.strip() for v in values):
+            raise ValueError(f"words are missing: {values!r}")
+        return tuple(dict.fromkeys(values))
+
+    signals = lambda rows: tuple(Signal(topic(r["topic"]), words(r["words"])) for r in rows)
+    rules = tuple(Rule(r["name"], int(r["weight"]), words(r["keywords"]), tuple(map(topic, r.get("topics", []))), signals(r.get("signals", [])), topic(r["default"]) if r.get("default") else None, signals(r.get("by_hit", []))) for r in payload.get("rules", []))
+    acronyms = tuple(Acronym(a["word"], topic(a["topic"]), int(a["score"]), words(a["contexts"])) for a in payload.get("acronyms", []))
+    if len({r.name for r in rules}) != len(rules) or any(r.weight < 1 or not (r.topics or r.signals or r.by_hit or r.default) for r in rules):
+        raise ValueError("a rule is named twice, weightless or without a topic")
+    return Lexicon(rules, acronyms)
+
+
+def save_lexicon(lexicon: Lexicon, path: str | Path) -> None:
+    """The file that load_lexicon reads."""
+    Path(path).write_text(json.dumps({"schema_version": 1, "rules": [asdict(r) for r in lexicon.rules], "acronyms": [asdict(a) for a in lexicon.acronyms]}, ensure_ascii=False, indent=1), encoding="utf-8")
+
+
 def _terms(values: list, weighted: bool) -> tuple[Term, ...]:
     out = []
     for v in values:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,9 +14,16 @@ NAVIGATION = ("next", "next page", "previous", "previous page", "nächste seite"
 NOT_HTML = r"(?i)\.(?:pdf|docx?|xlsx?|pptx?|zip|csv|xml|json|jpe?g|png|gif|svg|mp[34])$"
 
 
-def selected_sources(sources: DataFrame, countries: list[str] | None = None, ids: list[str] | None = None, on_date: str = "2022-03-01") -> DataFrame:
-    """Sources of the wanted countries and ids; without ids, only scheduled ones that aren't paused."""
-    out = sources
+def selected_sources(sources: DataFrame, countries: list[str] | None = None, ids: list[str] | None = None, on_date: str | None = None) -> DataFrame:
+    """Sources of the wanted countries and ids; without ids, only scheduled ones that aren't paused on the day (today).
+
+    An id that no source has is an error.
+    """
+    out, on_date = sources, on_date or date.today().isoformat()
+    if ids:
+        have = {r["id"] for r in sources.filter(F.col("id").isin(*ids)).select("id").collect()}  # at most the wanted ones
+        if missing := sorted({*ids} - have):
+            raise ValueError(f"unknown sources: {', '.join(missing)}")
     if countries:
         out = out.filter(F.col("country").isin(*countries))
     if ids:

@@ -30,18 +30,22 @@ def without_future(articles: DataFrame, observed: Column) -> DataFrame:
 def source_status(articles: DataFrame, sources: DataFrame, since: str, until: str) -> DataFrame:
     """One row per source, also of those without rows: counts, ratios, freshness and parse status.
 
+    A source without rows whose fetch_ok, where sources have it, is false has failed; with an answer it is empty.
+
     Distinct titles are counted after a partial distinct on a hash of the folded title.
     """
     end = F.lit(until).cast("timestamp")
     title = F.xxhash64(F.lower(strip(F.coalesce("title", F.lit("")))))
     per = articles.groupBy("source_id").agg(F.count(F.lit(1)).alias("raw"), F.count("published_at").alias("dated"), F.max("published_at").alias("newest"), F.count_if(in_range(F.col("published_at"), since, until)).alias("in_range"))
     titles = articles.select("source_id", title.alias("t")).distinct().groupBy("source_id").agg(F.count(F.lit(1)).alias("titles"))
-    rows = sources.select(F.col("id").alias("source_id"), "critical", "freshness_days", "date_policy").join(per, "source_id", "left").join(titles, "source_id", "left")
+    fetched = ["fetch_ok"] if "fetch_ok" in sources.columns else []
+    rows = sources.select(F.col("id").alias("source_id"), "critical", "freshness_days", "date_policy", *fetched).join(per, "source_id", "left").join(titles, "source_id", "left")
     rows = rows.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in ("raw", "dated", "in_range", "titles")})
     undated = F.when(F.col("raw") > 0, (F.col("raw") - F.col("dated")) / F.col("raw")).otherwise(0.0)
     lag = F.greatest(F.lit(0.0), (F.unix_micros(end) - F.unix_micros("newest")) / 86_400_000_000)
     rows = rows.withColumns({"undated_ratio": F.round(undated, 4), "unique_title_ratio": F.when(F.col("raw") > 0, F.round(F.col("titles") / F.col("raw"), 4)).otherwise(1.0), "lag_days": F.round(lag, 2)})
-    parse = F.when(F.col("raw") == 0, "empty").when(F.col("date_policy") == "unavailable", "exception").when(undated > UNDATED, "attention").otherwise("healthy")
+    failed = (F.col("raw") == 0) & ~F.coalesce("fetch_ok", F.lit(True)) if "fetch_ok" in sources.columns else F.lit(False)
+    parse = F.when(failed, "failed").when(F.col("raw") == 0, "empty").when(F.col("date_policy") == "unavailable", "exception").when(undated > UNDATED, "attention").otherwise("healthy")
     fresh = F.when(F.col("newest").isNull(), "unknown").when(lag > F.col("freshness_days"), "stale").otherwise("fresh")
     return rows.withColumns({"parse_status": parse, "freshness_status": fresh}).select("source_id", "critical", "raw", "dated", "in_range", "undated_ratio", "unique_title_ratio", F.unix_micros("newest").alias("newest_micros"), "lag_days", "parse_status", "freshness_status")
 
@@ -115,3 +119,34 @@ def run_status(health: DataFrame, gate: DataFrame, registry_errors: int = 0, tra
     one = health.agg(F.coalesce(F.bool_or(F.col("critical") & (failed | (F.col("health_status") == "degraded"))), F.lit(False)).alias("hard"), F.coalesce(F.bool_or(failed | F.col("health_status").isin("attention", "degraded")), F.lit(False)).alias("soft"))
     hard = F.col("hard") | (F.col("failures") != "") | F.lit(registry_errors > 0)
     return gate.join(F.broadcast(one)).select(F.when(hard, "degraded").when(F.col("soft") | F.lit(translated < 0.95), "attention").otherwise("complete").alias("status"))
+
+
+def source_summary(status: DataFrame, paused: int = 0) -> DataFrame:
+    """One row: all the counts and sums that a run's manifest gives over its sources.
+
+    A column that the status lacks counts as false or 0; null counts as false or 0 as well.
+    """
+    have = lambda c, other: F.coalesce(F.col(c), F.lit(other)) if c in status.columns else F.lit(other)
+    n = lambda c, name: F.count_if(c).alias(name)
+    total = lambda c, name: F.coalesce(F.sum(have(c, 0)), F.lit(0)).cast("long").alias(name)
+    health, fetched = have("health_status", ""), have("fetch_ok", True)
+    return status.agg(
+        F.count(F.lit(1)).alias("total"), (F.count(F.lit(1)) + paused).alias("configured_total"), F.lit(paused).cast("long").alias("paused"), n(fetched, "fetch_ok"), n(~fetched, "fetch_failed"),
+        n(health == "healthy", "healthy"), n(health == "attention", "attention"), n(health == "degraded", "degraded"), n(have("critical", False) & (health == "degraded"), "critical_degraded"), n(have("alerts", 0) > 0, "with_health_alerts"), n(have("relevant", 0) > 0, "with_content_hits"),
+        total("invalid_dates", "invalid_date_count"), total("unexplained", "unexplained_future_date_count"), total("timeouts", "timeout_count"), n(have("budget_exhausted", False), "budget_exhausted_count"), total("requests", "request_count"), total("bytes", "bytes_downloaded"), total("retries", "retry_count"),
+    )
+
+
+def date_summary(articles: DataFrame) -> DataFrame:
+    """One row: dated, undated and conflicting articles with their rates, and the histograms of date sources and confidences.
+
+    Without rows the conflict rate is 0 and the high-confidence rate 1. Null and empty words count as unknown.
+    """
+    have = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("unknown")) if c in articles.columns else F.lit("unknown")
+    conflict = F.coalesce(F.col("date_conflict"), F.lit(False)) if "date_conflict" in articles.columns else F.lit(False)
+    cells = articles.groupBy(have("date_source").alias("s"), have("date_confidence").alias("c")).agg(F.count(F.lit(1)).alias("n"), F.count("published_at").alias("d"), F.count_if(conflict).alias("x"))
+    n, x, high = (F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "x", F.when(F.col("c") == "high", F.col("n"))))
+    one = cells.agg(F.coalesce(F.sum("d"), F.lit(0)).cast("long").alias("dated_articles"), (n - F.coalesce(F.sum("d"), F.lit(0))).cast("long").alias("undated_articles"), x.cast("long").alias("conflict_count"), F.when(n > 0, F.round(x / n, 4)).otherwise(0.0).alias("conflict_rate"), F.when(n > 0, F.round(high / n, 4)).otherwise(1.0).alias("high_confidence_rate"))
+    # the cells are at most date sources x confidences
+    shown = lambda k: cells.groupBy(k).agg(F.sum("n").alias("n")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(k).alias("k"), "n"))), lambda v: F.concat(v["k"], F.lit("="), v["n"].cast("string"))), ";").alias(f"by_{'source' if k == 's' else 'confidence'}"))
+    return one.join(F.broadcast(shown("s"))).join(F.broadcast(shown("c")))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from presswell.operators.relations import two_key_lookup
+from presswell.tables import work_table
 
 #: Failures without any success after which a provider is left alone for the rest of a task.
 BREAKER = 3
@@ -60,7 +61,8 @@ def translate_titles(articles: DataFrame, cache: DataFrame, providers: Sequence[
                 rows.append((language, title, answer, by, tried))
             yield pd.DataFrame(rows, columns=["language", "title", "answer", "by", "tried"])
 
-    answers = open_titles.mapInPandas(run, "language string, title string, answer string, by string, tried array<string>")
+    # written once: both results read it, and a provider must not be asked again
+    answers = work_table(open_titles.mapInPandas(run, "language string, title string, answer string, by string, tried array<string>"), "answers")
     out = known.join(answers.select(F.col("language").alias("_l"), F.col("title").alias("_t"), "answer", "by"), F.col("language").eqNullSafe(F.col("_l")) & (F.col("title") == F.col("_t")), "left").drop("_l", "_t")
     done = F.coalesce("title_zh_tw", F.when(own, F.col("title")), F.col("answer"), F.lit(""))
     source = F.when(F.col("title_zh_tw").isNotNull(), "cache").when(own, "original").when(F.col("answer").isNotNull(), F.col("by")).otherwise("none")

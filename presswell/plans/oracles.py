@@ -7,9 +7,11 @@ import re
 from presswell.functions.text import STOP_WORDS, normalise
 from presswell.operators.classify import AUTHORITY, CONTENT_KINDS, OTHER_AUTHORITY, OTHER_KIND
 from presswell.operators.lexicon import DEFAULT, TOPICS
+from presswell.operators.periods import DATE_LANGUAGES
 from presswell.operators.rank import topic_terms
 from presswell.operators.relations import NAVIGATION
 from presswell.plans.queries import FLAGSHIP, OVERLAY, SINCE, UNTIL
+from presswell.sinks.reports import LEGAL, OFFICIAL, RESEARCH
 
 
 
@@ -62,6 +64,7 @@ def _classified() -> str:
         hit = f"len(h{i}) > 0"
         score.append(f"CASE WHEN {hit} THEN {r.weight} + least(len(h{i}) - 1, 2) ELSE 0 END")
         topics += [(t, hit) for t in r.topics]
+        topics += [(s.topic, f"list_has_any(h{i}, [{_in(s.words)}])") for s in r.by_hit]
         signs = [_or([f"contains(t, {_q(normalise(w))})" for w in s.words]) for s in r.signals]
         topics += [(s.topic, f"{hit} AND {c}") for s, c in zip(r.signals, signs, strict=True)]
         if r.default:
@@ -80,6 +83,11 @@ def _classified() -> str:
         SELECT *, {", ".join(rules + met)} FROM (SELECT article_id, source_id, language, title, summary, {WHOLE} AS t FROM articles)))"""
 
 
+def _sheets() -> str:
+    cases = [(name, condition) for name, condition in zip(("全部命中新聞", "CRA_CSA_NIS2_CER", "官方規範與執法", "研究智庫與公私協力"), ("true", f"list_has_any(topics, [{_in(LEGAL)}])", f"level IN ({_in(OFFICIAL)})", f"level IN ({_in(RESEARCH)})"), strict=True)]
+    return f"SELECT sheet, count(*) AS n FROM (SELECT unnest({_list(cases)}) AS sheet FROM (SELECT c.topics, {_first_match('k', AUTHORITY, OTHER_AUTHORITY)} AS level FROM ({_classified()}) c JOIN (SELECT article_id, coalesce(institution_type, '') AS k FROM articles) USING (article_id))) GROUP BY sheet"
+
+
 CONFIDENCE = "CASE WHEN score >= 4 THEN '高' WHEN score >= 2 THEN '中' WHEN score = 1 THEN '低' ELSE '未命中' END"
 
 
@@ -152,7 +160,7 @@ TRAILING = f"""
 HOST = r"regexp_extract({0}, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)"
 KEY = "regexp_replace(lower(" + HOST + r"), '^www\.', '') || coalesce(nullif(regexp_replace(regexp_extract({0}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', ''), ''), '/')"
 TARGET = r"regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)', 1)"
-PLAIN_ARTICLES = r"(SELECT source_id, trim(url) AS url, title, summary FROM articles WHERE NOT regexp_matches(concat_ws(' ', title, summary, url), '[<>&\x00-\x1f]') AND coalesce(title, '') <> '')"
+ISO = "strftime(make_timestamp({0}), '%Y-%m-%dT%H:%M:%S') || CASE WHEN {0} % 1000000 <> 0 THEN '.' || lpad(CAST({0} % 1000000 AS VARCHAR), 6, '0') ELSE '' END || '+00:00'"
 STRIP = r"regexp_replace(coalesce({0}, ''), '^[\s\p{{Z}}\x{{200b}}\x{{feff}}]+|[\s\p{{Z}}\x{{200b}}\x{{feff}}]+$', '', 'g')"
 
 
@@ -248,19 +256,33 @@ def core_oracles() -> dict[str, str]:
         "source_differences": """WITH a AS (SELECT source_id AS id, max(country) AS country, max(language) AS language, min(institution_type) AS institution_type FROM articles GROUP BY ALL)
           SELECT id, problem FROM (SELECT coalesce(d.id, a.id) AS id, CASE WHEN a.id IS NULL THEN 'missing' WHEN d.id IS NULL THEN 'extra' ELSE array_to_string(list_filter([CASE WHEN d.country IS DISTINCT FROM a.country THEN 'country' END, CASE WHEN d.language IS DISTINCT FROM a.language THEN 'language' END, CASE WHEN d.institution_type IS DISTINCT FROM a.institution_type THEN 'institution_type' END], lambda x: x IS NOT NULL), ',') END AS problem
           FROM sources d FULL JOIN a ON a.id = d.id) WHERE problem <> ''""",
-        "recheck_problems": "SELECT DISTINCT source, 'unreported' AS problem FROM mix_targets WHERE source NOT IN (SELECT source FROM documents WHERE lang = 'en' AND source IS NOT NULL) UNION ALL SELECT DISTINCT source, 'unexpected' FROM documents WHERE lang = 'en' AND source NOT IN (SELECT source FROM mix_targets)",
+        "recheck_problems": "SELECT DISTINCT source, 'unreported' AS problem FROM mix_targets WHERE source NOT IN (SELECT source FROM documents WHERE source IS NOT NULL) UNION ALL SELECT DISTINCT source, 'unexpected' FROM documents WHERE source NOT IN (SELECT source FROM mix_targets)",
         "order_statuses": "SELECT o_orderpriority AS country, count(*) AS entries, count(*) FILTER (o_orderstatus = 'F') AS registered, count(*) FILTER (o_orderstatus = 'O') AS unresolved, CAST(0 AS BIGINT) AS excluded, count(*) FILTER (o_orderstatus NOT IN ('F', 'O')) AS pending FROM orders GROUP BY ALL",
         "coverage_gaps": "SELECT country, array_to_string(list_filter(['central ministry', 'ministry', 'ministry_equivalent', '中央部會', '聯邦監理機關'], lambda x: NOT list_contains(have, x)), '|') AS missing FROM (SELECT country, list(DISTINCT institution_type) AS have FROM sources GROUP BY country)",
         "catalog_problems": """SELECT canonical_id, problems FROM (SELECT id AS canonical_id, array_to_string(list_filter([CASE WHEN country NOT IN ('EU', 'DE', 'FR', 'IE', 'AT', 'BE', 'ES', 'IT', 'NL', 'PL', 'SE', 'FI', 'EE') THEN 'country' END, CASE WHEN starts_with(listing_url, 'https://www.pelarpesk') THEN 'https' END, CASE WHEN institution_type NOT IN ('ministry', 'central ministry', '中央部會', '聯邦監理機關') THEN 'topics' END], lambda x: x IS NOT NULL), '|') AS problems FROM sources) WHERE problems <> ''""",
         "language_detection_quality": "SELECT source, tp, fp, fn, CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp), 6) ELSE 1 END AS precision, CASE WHEN tp + fn > 0 THEN round(tp / (tp + fn), 6) ELSE 1 END AS recall FROM (SELECT source, count(*) FILTER (t AND f) AS tp, count(*) FILTER (NOT t AND f) AS fp, count(*) FILTER (t AND NOT f) AS fn FROM (SELECT source, coalesce(lang, '') = 'en' AS t, coalesce(contains(lower(text), ' the '), false) AS f FROM documents) GROUP BY source)",
-        "kept_documents": "SELECT doc_id, size FROM (SELECT doc_id, coalesce(n_chars, 0) AS size, sum(coalesce(n_chars, 0)) OVER (ORDER BY published_at DESC, doc_id DESC ROWS UNBOUNDED PRECEDING) AS run FROM documents WHERE published_at IS NOT NULL) WHERE run <= 300000",
+        "kept_documents": "SELECT doc_id, size FROM (SELECT doc_id, coalesce(n_chars, 0) AS size, sum(coalesce(n_chars, 0)) OVER (ORDER BY coalesce(published_at, TIMESTAMPTZ '1970-01-01T00:00:00Z') DESC, doc_id DESC ROWS UNBOUNDED PRECEDING) AS run FROM documents) WHERE run <= 300000",
         "text_totals": "SELECT source, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS chars, count(*) AS n FROM documents GROUP BY source",
         "inventory_merge": f"""WITH o AS (SELECT {KEY.format("homepage")} AS url_key, homepage AS url, id FROM sources), n AS (SELECT url_key, min(url) AS url FROM (SELECT {KEY.format("url")} AS url_key, url FROM (SELECT unnest([listing_url, replace(homepage, 'https://www.', 'https://')]) AS url FROM sources)) GROUP BY url_key)
           SELECT coalesce(o.url_key, n.url_key) AS url_key, coalesce(n.url, o.url) AS url, CASE WHEN o.url IS NULL THEN '2022-03-01' ELSE '2022-01-01' END AS first_seen_at, CASE WHEN n.url IS NULL THEN '2022-02-01' ELSE '2022-03-01' END AS last_seen_at, n.url IS NOT NULL AS seen_this_run,
             CASE WHEN o.id IS NULL THEN 'directory' WHEN n.url IS NULL THEN o.id ELSE array_to_string(list_sort([o.id, 'directory']), '|') END AS discovered_from FROM o FULL JOIN n USING (url_key)""",
         "customer_sets": "SELECT k, which FROM (SELECT c_custkey AS k, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN 'both' ELSE 'idle' END AS which FROM customer)",
         "settings_fingerprints": "SELECT id, sha256(concat_ws(chr(1), id, listing_url, array_to_string(allow_domains, ','), array_to_string(include_patterns, ','), timezone)) AS fingerprint FROM sources",
-        "rss_items": f"SELECT source_id, url, {STRIP.format('title')} AS title, {STRIP.format('summary')} AS summary, 'Fri, 25 Feb 2022 14:08:35 +0100' AS raw_date, count(*) AS n FROM {PLAIN_ARTICLES} GROUP BY ALL",
-        "wordpress_posts": f"SELECT source_id, url, {STRIP.format('title')} AS title, {STRIP.format('summary')} AS summary, '2022-02-25T13:08:35Z' AS raw_date, count(*) AS n FROM {PLAIN_ARTICLES} GROUP BY ALL",
         "article_lines": "SELECT url, coalesce(title, '') AS title, coalesce(summary, '') AS summary, CASE WHEN published_at IS NOT NULL THEN strftime(timezone('UTC', published_at), '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(published_at) % 1000000 <> 0 THEN '.' || lpad(CAST(epoch_us(published_at) % 1000000 AS VARCHAR), 6, '0') ELSE '' END || '+00:00' END AS published_at, count(*) AS n, CAST(sum(len(coalesce(discovered_by, []))) AS BIGINT) AS finders FROM articles GROUP BY ALL",
+        "article_sheets": _sheets(),
+        "status_sheet": f"SELECT s.source_id, country, CASE WHEN s.critical THEN '是' ELSE '否' END AS critical, raw, coalesce({ISO.format('newest_micros')}, '') AS newest, parse_status FROM ({STATUS}) s JOIN sources ON id = s.source_id",
+        "source_summary": f"""SELECT count(*) AS total, count(*) + 2 AS configured_total, CAST(2 AS BIGINT) AS paused, count(*) AS fetch_ok, CAST(0 AS BIGINT) AS fetch_failed, count(*) FILTER (h = 'healthy') AS healthy, count(*) FILTER (h = 'attention') AS attention, count(*) FILTER (h = 'degraded') AS degraded,
+          count(*) FILTER (critical AND h = 'degraded') AS critical_degraded, CAST(0 AS BIGINT) AS with_health_alerts, count(*) FILTER (in_range > 0) AS with_content_hits, CAST(coalesce(sum(raw - dated), 0) AS BIGINT) AS invalid_date_count, CAST(0 AS BIGINT) AS unexplained_future_date_count, CAST(0 AS BIGINT) AS timeout_count,
+          CAST(0 AS BIGINT) AS budget_exhausted_count, CAST(0 AS BIGINT) AS request_count, CAST(0 AS BIGINT) AS bytes_downloaded, CAST(0 AS BIGINT) AS retry_count FROM (SELECT *, CASE WHEN parse_status = 'healthy' THEN 'healthy' WHEN critical THEN 'degraded' ELSE 'attention' END AS h FROM ({STATUS}))""",
+        "date_summary": """SELECT count(*) FILTER (trim(raw_value) <> '') AS dated_articles, count(*) - count(*) FILTER (trim(raw_value) <> '') AS undated_articles, count(*) FILTER (cand_pos > 0) AS conflict_count, round(count(*) FILTER (cand_pos > 0) / count(*), 4) AS conflict_rate, round(count(*) FILTER (confidence = 'high') / count(*), 4) AS high_confidence_rate,
+          (SELECT string_agg(k || '=' || n, ';' ORDER BY k) FROM (SELECT coalesce(nullif(date_source, ''), 'unknown') AS k, count(*) AS n FROM date_candidates GROUP BY 1)) AS by_source, (SELECT string_agg(k || '=' || n, ';' ORDER BY k) FROM (SELECT coalesce(nullif(confidence, ''), 'unknown') AS k, count(*) AS n FROM date_candidates GROUP BY 1)) AS by_confidence FROM date_candidates""",
+        "date_languages": f"SELECT CASE WHEN b = 'no' THEN 'nb' WHEN b IN ({_in(DATE_LANGUAGES)}) THEN b ELSE '' END AS date_language, count(*) AS n FROM (SELECT split_part(coalesce(language, ''), '-', 1) AS b FROM articles) GROUP BY 1",
+        "audited_sources": "SELECT id, country FROM sources ORDER BY id LIMIT 10",
+        "source_guids": "SELECT doc_id, upper(substr(md5(title), 1, 8) || substr(md5(title), 9, 4)) AS guid FROM documents",
+        "row_shades": f"SELECT shade, count(*) AS n FROM (SELECT CASE WHEN len(topics) > 0 AND len(keywords) > 0 THEN CASE WHEN score >= 4 THEN 'C6EFCE' WHEN score >= 2 THEN 'FFEB9C' WHEN score = 1 THEN 'FCE4D6' ELSE '' END ELSE '' END AS shade FROM ({_classified()})) GROUP BY 1",
+        "error_codes": "SELECT CASE WHEN event_type = 'purchase' THEN '' WHEN event_type = 'error' THEN 'ROBOTS_DENIED' WHEN value < 10 THEN 'HTTP_CHALLENGE' WHEN value >= 50 THEN 'PARSE_EMPTY' ELSE 'FETCH_FAILED' END AS code, count(*) AS n FROM events GROUP BY 1",
+        "source_pages": """SELECT source_id, CAST(row_number() OVER (PARTITION BY source_id ORDER BY k) - 1 AS INTEGER) AS pos, url FROM (SELECT source_id, url, min(k) AS k FROM (
+          SELECT id AS source_id, unnest(u) AS url, generate_subscripts(u, 1) AS k FROM (SELECT id, CASE WHEN critical THEN [homepage || '/2022', homepage || '/2021'] ELSE [listing_url] END || list_transform(range(1, coalesce(max_pages, 1)), lambda n: homepage || '/p' || n) AS u FROM sources)) WHERE url IS NOT NULL AND url <> '' GROUP BY ALL)""",
+        "list_order": """SELECT a.source_id, stage, fetched_via, (s * 1048576 + row_number() OVER (PARTITION BY a.source_id ORDER BY stage, fetched_via)) * 1048576 + 1 AS place, n FROM (SELECT source_id, batch_no % 2 AS stage, coalesce(fetched_via, '') AS fetched_via, count(*) AS n FROM articles GROUP BY ALL) a
+          JOIN (SELECT id, row_number() OVER (ORDER BY lower(id), id) AS s FROM sources) ON id = a.source_id""",
     }

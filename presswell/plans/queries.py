@@ -11,9 +11,10 @@ from presswell.functions import text as t
 from presswell.functions import urls as u
 from presswell.operators import audit, classify, dates, dedupe, health, rank, relations, status
 from presswell.operators.lexicon import Overlay, OverlayTopic, Term
-from presswell.operators.periods import calendar_day_column, resolve_period
+from presswell.operators.periods import calendar_day_column, date_language, resolve_period
 from presswell.plans import pipeline
 from presswell.sinks import articles as sink
+from presswell.sinks import reports
 from presswell.sources import config, feeds, listings
 from presswell.tables import read_table, spread
 
@@ -327,7 +328,7 @@ def source_differences(s: SparkSession, d: str) -> DataFrame:
 
 
 def recheck_problems(s: SparkSession, d: str) -> DataFrame:
-    return relations.recheck_closure(read_table(s, d, "mix_targets"), read_table(s, d, "documents").filter("lang = 'en'"), "source")
+    return relations.recheck_closure(read_table(s, d, "mix_targets"), read_table(s, d, "documents"), "source")
 
 
 def order_statuses(s: SparkSession, d: str) -> DataFrame:
@@ -359,7 +360,7 @@ def language_detection_quality(s: SparkSession, d: str) -> DataFrame:
 
 
 def kept_documents(s: SparkSession, d: str) -> DataFrame:
-    rows = read_table(s, d, "documents").filter("published_at is not null").select("doc_id", "published_at", F.coalesce("n_chars", F.lit(0)).alias("size"))
+    rows = read_table(s, d, "documents").select("doc_id", F.coalesce("published_at", F.lit("1970-01-01T00:00:00Z").cast("timestamp")).alias("published_at"), F.coalesce("n_chars", F.lit(0)).alias("size"))
     half = 300_000
     return relations.evicted(rows, "size", half, ["published_at", "doc_id"]).select("doc_id", "size")
 
@@ -392,27 +393,52 @@ def settings_fingerprints(s: SparkSession, d: str) -> DataFrame:
 
 def _escaped(c: Column) -> Column:
     """Text as XML and HTML can hold it, in an attribute as well; a carriage return needs a reference, or it reads as a line feed."""
-    out = F.coalesce(c, F.lit(""))
+    out = F.regexp_replace(F.coalesce(c, F.lit("")), "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]", "")
     for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("'", "&#39;"), ("\r", "&#13;")):
         out = F.replace(out, F.lit(sign), F.lit(name))
     return out
 
 
+#: Articles that one landed payload holds at most.
+PAGE = 200
+#: Cards that one landed listing page holds at most.
+CARDS = 20
+
+
 def _titled_articles(s: SparkSession, d: str) -> DataFrame:
     """All articles that a feed or page can list, as they were scraped: those with a title."""
-    return _articles(s, d).filter(F.coalesce("title", F.lit("")) != "").select("source_id", "url", "title", "summary")
+    return _articles(s, d).filter(F.coalesce("title", F.lit("")) != "").select("article_id", "source_id", "url", "title", "summary")
+
+
+def _pages(rows: DataFrame, item: Column, name: str, url: str, size: int = PAGE) -> DataFrame:
+    """source_id, url and the items of payloads of up to `size` neighbouring articles of a source, in their order."""
+    each = rows.select("source_id", F.floor(F.col("article_id") / size).alias("page"), F.struct("article_id", item.alias("item")).alias("at"))
+    return each.groupBy("source_id", "page").agg(F.transform(F.array_sort(F.collect_list("at")), lambda a: a["item"]).alias(name)).withColumn("url", F.lit(url))
+
+
+def _feed_pages(rows: DataFrame, date: Column) -> DataFrame:
+    """Landed feeds. Texts of a feed are markup, so they are escaped once for that and once for the feed."""
+    text = lambda c: _escaped(_escaped(F.col(c)))
+    item = F.concat(F.lit("<item><title>"), text("title"), F.lit("</title><link>"), _escaped(F.col("url")), F.lit("</link><pubDate>"), date, F.lit("</pubDate><description>"), text("summary"), F.lit("</description></item>"))
+    pages = _pages(rows, item, "items", "https://feed.example/rss")
+    return pages.select("source_id", "url", F.concat(F.lit("<rss version='2.0'><channel><title>f</title>"), F.array_join("items", ""), F.lit("</channel></rss>")).alias("body"))
+
+
+def _collapsed(*names: str) -> list[Column]:
+    """Texts with single blanks: markup may set them anew."""
+    return [t.collapse_blanks(F.col(c)).alias(c) for c in names]
 
 
 def rss_items(s: SparkSession, d: str) -> DataFrame:
-    item = F.concat(F.lit("<rss version='2.0'><channel><title>f</title><item><title>"), _escaped(F.col("title")), F.lit("</title><link>"), _escaped(F.col("url")), F.lit("</link><pubDate>Fri, 25 Feb 2022 14:08:35 +0100</pubDate><description>"), _escaped(F.col("summary")), F.lit("</description></item></channel></rss>"))
-    landed = _titled_articles(s, d).select("source_id", F.lit("https://feed.example/rss").alias("url"), item.alias("body"))
-    return feeds.rss(landed).groupBy("source_id", "url", "title", "summary", "raw_date").agg(F.count(F.lit(1)).alias("n"))
+    landed = _feed_pages(_titled_articles(s, d), F.lit("Fri, 25 Feb 2022 14:08:35 +0100"))
+    return feeds.rss(landed).groupBy("source_id", "url", *_collapsed("title", "summary"), "raw_date").agg(F.count(F.lit(1)).alias("n"))
 
 
 def wordpress_posts(s: SparkSession, d: str) -> DataFrame:
-    post = F.struct(F.struct(F.col("title").alias("rendered")).alias("title"), F.struct(F.col("summary").alias("rendered")).alias("excerpt"), F.col("url").alias("link"), F.lit("2022-02-25T13:08:35").alias("date_gmt"))
-    landed = _titled_articles(s, d).select("source_id", F.lit("https://feed.example/json").alias("url"), F.to_json(F.array(post)).alias("body"))
-    return feeds.wordpress(landed).groupBy("source_id", "url", "title", "summary", "raw_date").agg(F.count(F.lit(1)).alias("n"))
+    post = F.struct(F.struct(_escaped(F.col("title")).alias("rendered")).alias("title"), F.struct(_escaped(F.col("summary")).alias("rendered")).alias("excerpt"), F.col("url").alias("link"), F.lit("2022-02-25T13:08:35").alias("date_gmt"))
+    pages = _pages(_titled_articles(s, d), post, "posts", "https://feed.example/json")
+    landed = pages.select("source_id", "url", F.to_json("posts").alias("body"))
+    return feeds.wordpress(landed).groupBy("source_id", "url", *_collapsed("title", "summary"), "raw_date").agg(F.count(F.lit(1)).alias("n"))
 
 
 def listing_cards(s: SparkSession, d: str) -> DataFrame:
@@ -437,7 +463,7 @@ def _resolved(s: SparkSession, d: str) -> DataFrame:
 def search_results(s: SparkSession, d: str) -> DataFrame:
     a = _resolved(s, d)
     corpus = a.select("source_id", "country", "source_name", "institution_type", "language", "title", "summary", "url", sink.iso(F.col("published_at")).alias("published_at"), F.lit("corpus").alias("file"), F.col("article_id").alias("line"))
-    ids = [r["id"] for r in _sources(s, d).filter("country in ('EU', 'DE', 'IE')").select("id").collect()]
+    ids = _sources(s, d).filter("country in ('EU', 'DE', 'IE')").select(F.col("id").alias("source_id"))
     out = pipeline.search(corpus, resolve_period("2022-02-01", "2022-02-28"), ids, _modules(s, d))
     return out.select("url", F.array_join("topics", "|").alias("topics"), "boolean_score", "bm25", "confidence")
 
@@ -447,6 +473,76 @@ def collection_run(s: SparkSession, d: str) -> DataFrame:
     return run.selected.select("article_id", "source_id", "title", "url", F.array_join("topics", "|").alias("topics"), "boolean_score", "bm25", "content_kind")
 
 
+def payload_run(s: SparkSession, d: str) -> DataFrame:
+    """The whole way from payloads: half of the articles come in feeds, half on listing pages, undated ones have a page of their own."""
+    a = _articles(s, d).filter(F.coalesce("title", F.lit("")) != "")
+    even = F.col("article_id") % 2 == 0
+    day = F.coalesce(sink.iso(F.col("published_at")), F.lit(""))
+    card = F.concat(F.lit("<article><h2><a href='"), _escaped(F.col("url")), F.lit("'>"), _escaped(F.col("title")), F.lit("</a></h2><time datetime='"), day, F.lit("'></time><p>"), _escaped(F.col("summary")), F.lit("</p></article>"))
+    pages = _pages(a.filter(~even), card, "cards", "https://page.example/news", CARDS).select("source_id", F.concat("url", F.lit("?page="), "page").alias("url"), F.concat(F.lit("<html><body><main>"), F.array_join("cards", ""), F.lit("</main></body></html>")).alias("body"))
+    own = F.concat(F.lit("<html><head><meta property='article:published_time' content='2022-02-20T10:00:00Z'></head><body><main><h1>"), _escaped(F.col("title")), F.lit("</h1></main></body></html>"))
+    details = a.filter("published_at is null").select("source_id", t.strip(F.col("url")).alias("url"), own.alias("body")).dropDuplicates(["url"])
+    period = resolve_period("2022-02-01", "2022-02-28")
+    found = pipeline.scrape(_feed_pages(a.filter(even), day), pages, details, _sources(s, d), period, OBSERVED)
+    run = pipeline.collect(found, _sources(s, d), period, OBSERVED, _modules(s, d), limits=LIMITS)
+    return run.selected.select("article_id", "source_id", "title", "url", F.array_join("topics", "|").alias("topics"), "boolean_score", "bm25")
+
+
+# sheets, summaries, names
+
+
+def article_sheets(s: SparkSession, d: str) -> DataFrame:
+    return reports.sheet_sizes(pipeline.analysed(_articles(s, d)))
+
+
+def status_sheet(s: SparkSession, d: str) -> DataFrame:
+    return reports.status_sheet(_status(s, d), _sources(s, d)).select(F.col("來源代碼").alias("source_id"), F.col("國家").alias("country"), F.col("必要來源").alias("critical"), F.col("原始筆數").alias("raw"), F.col("最新日期").alias("newest"), F.col("解析狀態").alias("parse_status"))
+
+
+def source_summary(s: SparkSession, d: str) -> DataFrame:
+    rows = _status(s, d).withColumns({"health_status": F.when(F.col("parse_status") == "healthy", "healthy").when(F.col("critical"), "degraded").otherwise("attention"), "relevant": F.col("in_range"), "invalid_dates": F.col("raw") - F.col("dated")})
+    return status.source_summary(rows, 2)
+
+
+def date_summary(s: SparkSession, d: str) -> DataFrame:
+    rows = read_table(s, d, "date_candidates").select("date_source", F.col("confidence").alias("date_confidence"), F.nullif(F.trim("raw_value"), F.lit("")).alias("published_at"), (F.col("cand_pos") > 0).alias("date_conflict"))
+    return status.date_summary(rows)
+
+
+def date_languages(s: SparkSession, d: str) -> DataFrame:
+    return _articles(s, d).groupBy(date_language(F.col("language")).alias("date_language")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def audited_sources(s: SparkSession, d: str) -> DataFrame:
+    return audit.audited(_sources(s, d), 10).select("id", "country")
+
+
+def source_guids(s: SparkSession, d: str) -> DataFrame:
+    return read_table(s, d, "documents").select("doc_id", t.guid(F.concat(F.lit(" {"), F.substring(F.md5("title"), 1, 8), F.lit("-"), F.substring(F.md5("title"), 9, 4), F.lit("} "))).alias("guid"))
+
+
+def row_shades(s: SparkSession, d: str) -> DataFrame:
+    rows = classify.classify(_articles(s, d))
+    return rows.groupBy(F.coalesce(sink.shade(F.col("confidence"), F.col("topics"), F.col("keywords")), F.lit("")).alias("shade")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def error_codes(s: SparkSession, d: str) -> DataFrame:
+    e = read_table(s, d, "events")
+    errors = F.array(F.when(F.col("event_type") == "error", "RobotsDenied: no").when(F.col("value") < 10, "HTTP: ChallengePage").otherwise("timeout"))
+    return e.groupBy(status.error_code(errors, F.col("event_type") == "purchase", F.col("value") >= 50).alias("code")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def source_pages(s: SparkSession, d: str) -> DataFrame:
+    rows = _sources(s, d).withColumns({"yearly_listing_url": F.when(F.col("critical"), F.concat("homepage", F.lit("/{year}"))).otherwise(""), "pagination_url": F.concat("homepage", F.lit("/p{page}"))})
+    return feeds.listing_pages(rows, 2021, 2022).select("source_id", "pos", "url")
+
+
+def list_order(s: SparkSession, d: str) -> DataFrame:
+    items = _articles(s, d).select("source_id", F.lit(1).alias("pos"), "article_id", F.coalesce("fetched_via", F.lit("")).alias("fetched_via"), (F.col("batch_no") % 2).alias("stage")).withColumnRenamed("article_id", "old_id")
+    placed = pipeline.in_list_order(items, _sources(s, d))
+    return placed.groupBy("source_id", "stage", "fetched_via").agg(F.max("article_id").alias("place"), F.count(F.lit(1)).alias("n"))
+
+
 # mixed dates
 
 
@@ -455,12 +551,18 @@ def p3_found(s: SparkSession, d: str) -> DataFrame:
     return found.filter("utc_micros is not null").select("candidate_id", "utc_micros").distinct()
 
 
+def p3_resolved(s: SparkSession, d: str) -> DataFrame:
+    """Instants where declarations are doubted and the mixture of a source's notations may decide."""
+    found = dates.normalised_dates(read_table(s, d, "date_candidates"), _sources(s, d), decide_above=0.9, doubt=0.05)
+    return found.filter("utc_micros is not null").select("candidate_id", "utc_micros", "notation", F.round("posterior", 6).alias("posterior")).distinct()
+
+
 def p3_mixture(s: SparkSession, d: str) -> DataFrame:
     return dates.format_mixture(read_table(s, d, "date_candidates"), _sources(s, d))
 
 
 def core_queries() -> dict[str, Query]:
     own = {k: f for k, f in globals().items() if callable(f) and getattr(f, "__module__", "") == __name__ and not k.startswith("_") and k != "core_queries"}
-    return {"p3_found": own.pop("p3_found"), "p3_mixture": own.pop("p3_mixture"), **own}
+    return {**{k: own.pop(k) for k in ("p3_found", "p3_resolved", "p3_mixture")}, **own}
 
 

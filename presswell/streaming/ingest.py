@@ -50,3 +50,12 @@ def trailing_health(observations: DataFrame) -> DataFrame:
         yield pd.DataFrame(out, columns=["source_id", "at", "raw_count", "median_count", "failures_before"])
 
     return observations.groupBy("source_id").applyInPandasWithState(update, "source_id string, at timestamp, raw_count long, median_count double, failures_before int", "counts array<long>, fails array<boolean>", "append", GroupStateTimeout.NoTimeout)
+
+
+def run_available(stream: DataFrame, path: str, checkpoint: str, timeout_s: int | None = None) -> bool:
+    """A scheduled run: append what has arrived since the last one to Parquet files, then stop. False if it did not end in time."""
+    query = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
+    ended = query.awaitTermination(timeout_s) if timeout_s else (query.awaitTermination(), True)[1]
+    if not ended:
+        query.stop()
+    return bool(ended)

@@ -150,7 +150,7 @@ def test_corpus_index_and_search(spark, tmp_path):
     index = spark.createDataFrame(c.collect(), c.schema)
     (tmp_path / "two.corpus.jsonl").write_text(json.dumps(LINE | {"url": "https://a.eu/9"}), encoding="utf-8")
     f.unlink()
-    now = corpus.refreshed(index, corpus.corpus_files(spark, str(tmp_path)), corpus.read_corpus(spark, str(tmp_path)))
+    now = corpus.refreshed(index, corpus.corpus_files(spark, str(tmp_path)))
     assert [r["url"] for r in now.collect()] == ["https://a.eu/9"]
 
 
