@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from presswell.functions.text import collapse_blanks, strip
@@ -22,24 +22,29 @@ def _clean(values: Column) -> Column:
     return F.coalesce(values, F.array().cast("array<string>"))
 
 
+def _first(records: DataFrame, order: list[Column], field: str) -> DataFrame:
+    """group_id, field_name, chosen: the copy_id that ranks first in each group."""
+    ranked = records.withColumn("rank", F.row_number().over(Window.partitionBy("group_id").orderBy(*order)))
+    return ranked.filter("rank = 1").select("group_id", F.lit(field).alias("field_name"), F.col("copy_id").cast("string").alias("chosen"))
+
+
 def best_records(copies: DataFrame) -> DataFrame:
     """group_id, field_name, chosen: the values of the surviving article.
 
     summary and published_at give the copy_id of the winning copy: most complete, then trusted, then recent, then lowest
     id; a null fetched_at ranks last and puts no upper bound on the date. discovered_by and alternate_urls give one row
     per distinct member. Null or blank members, blank summaries and impossible dates are never chosen; a null group_id is
-    a group of its own. All choices are aggregates with partial results, so a large group needs no single task.
+    a group of its own. Records are ranked by a window and the first of each group stays; the limit of one goes below the
+    shuffle (WindowGroupLimit), so that every task sends at most one row of a group, however large the group is.
     """
     text = collapse_blanks(F.col("summary"))
     cut = text.rlike("(…|\\.\\.\\.)\\s*[)\\]}>»]?$")
     micros = F.unix_micros("fetched_at")
-    tie = [F.coalesce(micros, F.lit(-(2**62))).alias("t"), (-F.col("copy_id")).alias("k")]
     dated = F.col("published_at").isNotNull() & (F.col("published_at") >= F.lit(EARLIEST).cast("timestamp")) & F.coalesce(F.unix_micros("published_at") - micros <= AHEAD_S * 1_000_000, F.lit(True))
-    winners = copies.groupBy("group_id").agg(
-        F.max(F.when(F.coalesce(text, F.lit("")) != "", F.struct((~cut).alias("whole"), F.length(text).alias("n"), *tie)))["k"].alias("summary"),
-        F.max(F.when(dated, F.struct(_trust(F.col("date_confidence")).alias("c"), *tie)))["k"].alias("published_at"),
-    )
-    single = winners.select("group_id", F.explode(F.create_map(F.lit("summary"), F.col("summary"), F.lit("published_at"), F.col("published_at"))).alias("field_name", "k")).filter("k is not null").select("group_id", "field_name", (-F.col("k")).cast("string").alias("chosen"))
+    recent = [F.col("fetched_at").desc_nulls_last(), F.col("copy_id").asc()]
+    summary = _first(copies.filter(F.coalesce(text, F.lit("")) != "").select("group_id", "copy_id", "fetched_at", (~cut).alias("whole"), F.length(text).alias("n")), [F.col("whole").desc(), F.col("n").desc(), *recent], "summary")
+    date = _first(copies.filter(dated).select("group_id", "copy_id", "fetched_at", _trust(F.col("date_confidence")).alias("trust")), [F.col("trust").desc(), *recent], "published_at")
+    single = summary.unionByName(date)
     finders = copies.select("group_id", F.explode(F.concat(F.array("source_id"), _clean(F.col("discovered_by")))).alias("v")).select("group_id", F.lit("discovered_by").alias("field_name"), F.lower(strip(F.col("v"))).alias("chosen")).filter("chosen != ''").distinct()
     return single.unionByName(finders).unionByName(_other_urls(copies))
 

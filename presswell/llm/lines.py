@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from presswell.functions.text import letters_and_digits, letters_only
-from presswell.tables import work_table
+from presswell.tables import spread, work_table
 
 #: A line recurs when it stands in this share of the rows of its source and under at least so many titles.
 MIN_SHARE = 0.05
@@ -106,16 +106,24 @@ def folded(before: LineState | None, batch: DataFrame, min_share: float = MIN_SH
     return after, at(lines, now).unionByName(at(before.lines, now.join(was, on, "left_anti"))), at(before.lines, was.join(now, on, "left_anti"))
 
 
-def repeated_lines(articles: DataFrame, history: DataFrame | None = None, min_share: float = MIN_SHARE, min_titles: int = MIN_TITLES) -> DataFrame:
+def repeated_lines(articles: DataFrame, min_share: float = MIN_SHARE, min_titles: int = MIN_TITLES) -> DataFrame:
     """article_id, line_no of every recurring line of these articles.
 
-    history: the count table of what came before, if the articles are a new batch. It has no titles, so that those of the
-    batch alone decide; folded keeps them, and finds the lines of earlier batches as well. Null summaries have no lines, null
-    titles count as one empty title, a null source_id matches nothing. Repeated article rows count.
+    The lowest batch_no is the initial state; what came after it is merged in as one delta, and only lines that this lets
+    recur, or no longer recur, are looked up among the stored ones. Articles without batch_no are part of the initial
+    state. Null summaries have no lines, null titles count as one empty title, a null source_id matches nothing. Repeated
+    article rows count.
     """
-    lines = numbered_lines(articles)
-    counts = merge_counts(*([history] if history is not None else []), line_delta(articles))
-    return lines.join(recurring(lines, counts, min_share, min_titles), ["source_id", "line_key"], "left_semi").select("article_id", "line_no")
+    batch = F.col("batch_no") if "batch_no" in articles.columns else F.lit(None).cast("int").alias("batch_no")
+    articles = articles.select("article_id", "source_id", "title", "summary", batch)
+    rows = spread(articles)
+    initial = articles.agg(F.min("batch_no")).first()[0]
+    first = F.coalesce(F.col("batch_no") == F.lit(initial), F.lit(True)) if initial is not None else F.lit(True)
+    state, found, _ = folded(None, rows.filter(first), min_share, min_titles)
+    if initial is None or articles.filter(F.col("batch_no") > initial).isEmpty():
+        return found
+    _, more, fewer = folded(state, rows.filter(~first), min_share, min_titles)
+    return found.join(fewer.distinct(), ["article_id", "line_no"], "left_anti").unionByName(more)
 
 
 def without_lines(articles: DataFrame, found: DataFrame) -> DataFrame:

@@ -182,8 +182,13 @@ Komunikat usunięto lukę w obsłudze w oprogramowaniu
 Meddelande sårbarhet åtgärdad i hanteringen av i programvaran
 """
 _NAME = r"[^\W\d][\w.$]*(?: ?\| ?[\w.]+)?"
-#: Template marks, filled or not; fixed values.
-MARK = re.compile("|".join((r"\{\{[^{}\n]{0,80}\}\}", r"\{%[^%\n]{0,80}%\}", r"[$#]\{[^{}\n]{0,80}\}", r"<%[^>\n]{0,80}%>", r"<\?[^>\n]{0,80}\?>", r"\[\[[^\[\]\n]{0,80}\]\]", rf"%\({_NAME}\)s", rf"%%{_NAME}%%", rf"@@{_NAME}@@", r"__[^\W\d_][\w.$]*?(?: ?\| ?[\w.]+?)?__", rf"\{{{_NAME}\}}", rf"\[(?!(?:sic|pdf|video|audio|live|update|foto|photo|podcast|eng?|de|fr|es|it|nl|pl|sv)\]){_NAME}\]")), re.IGNORECASE)
+#: Shapes of template marks, filled or not; fixed values. A headline between double brackets is no mark: a mark holds one name.
+SHAPES = {
+    "mustache": r"\{\{[^{}\n]*\}\}", "block": r"\{%[^%\n]*%\}", "dollar": r"[$#]\{[^{}\n]*\}", "server": r"<%[^>\n]*%>", "processing": r"<\?[^>\n]*\?>", "wiki": r"\[\[\s*[^\s\[\]|]+(?:\s*\|\s*[^\s\[\]|]+)*\s*\]\]",
+    "format": rf"%\({_NAME}\)s", "percent": rf"%%{_NAME}%%", "at": rf"@@{_NAME}@@", "dunder": r"__[^\W\d_][\w.$]*?(?: ?\| ?[\w.]+?)?__", "brace": rf"\{{{_NAME}\}}",
+    "bracket": rf"\[(?!(?:sic|pdf|video|audio|live|update|foto|photo|podcast|eng?|de|fr|es|it|nl|pl|sv)\]){_NAME}\]",
+}
+MARK = re.compile("|".join(f"(?P<{name}>{shape})" for name, shape in SHAPES.items()), re.IGNORECASE)
 #: Share of an exemplar's TF-IDF weight that a passage must contain, and share of the passage's words that the exemplar must cover.
 CONTAINED = 0.8
 COVERED = 0.6
@@ -208,6 +213,14 @@ def _words(text: str) -> list[str]:
     return ["xx" if w[0] == "x" and _RUN.fullmatch(w) else w for w in words]
 
 
+def tokens(text: str) -> list[str]:
+    """The words of a passage, and a token for the shape of each of its template marks."""
+    if not any(c in text for c in "{<%@[_#"):
+        return _words(text)
+    shapes = [f"mark:{m.lastgroup}" for m in MARK.finditer(text)]
+    return [*_words(MARK.sub(" ", text)), *shapes] if shapes else _words(text)
+
+
 def exemplars() -> list[tuple[int, str, set[str], set[str]]]:
     """(id, kind, words to contain, words that cover a passage)."""
     lorem = LOREM.split()
@@ -220,6 +233,7 @@ def exemplars() -> list[tuple[int, str, set[str], set[str]]]:
             core, _, more = line.partition("|")
             added = TRAILERS if kind == "error" else set()
             out.append((len(out), kind, {*_words(core)}, {*_words(core), *_words(more), *added}))
+    out += [(len(out) + i, "mark", {f"mark:{shape}"}, {f"mark:{shape}"}) for i, shape in enumerate(SHAPES)]
     return out
 
 
@@ -238,8 +252,9 @@ def passages(title: str | None, summary: str | None) -> list[str]:
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per batch, the passage frequencies of the exemplars' words, and the passages that some exemplar may explain.
 
-    A passage is retrieved through the inverted index word -> exemplars: it has a mark, or an exemplar covers enough of its
-    words. What no exemplar covers can't be residue whatever the weights, so they are not needed yet.
+    A passage is retrieved through the inverted index token -> exemplars: an exemplar of a mark has its token in it, or
+    another exemplar covers enough of its words. What no exemplar covers can't be residue whatever the weights, so they are
+    not needed yet.
     """
     index: dict[str, list[int]] = {}
     for i, kind, _, cover in exemplars():
@@ -254,8 +269,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, title, summary in zip(b.column("article_id").to_pylist(), b.column("title").to_pylist(), b.column("summary").to_pylist(), strict=True):
             for p in passages(title, summary):
                 if (found := seen.get(p)) is None:
-                    words = _words(p)
-                    marked = any(c in p for c in "{<%@[_#") and MARK.search(p) is not None
+                    words = tokens(p)
+                    marked = words[-1:] != [] and words[-1].startswith("mark:")
                     found = (known.intersection(words), marked, marked or _covered(words, index))
                     if len(seen) < REMEMBERED:
                         seen[p] = found
@@ -287,22 +302,23 @@ def weighted(df: dict[str, int], total: int) -> list[tuple]:
 
 
 @F.udf(T.ArrayType(T.StringType()), useArrow=True)
-def _passage_words(text: str, marked: bool) -> list[str]:
-    return _words(MARK.sub(" ", text) if marked else text)
+def _passage_tokens(text: str) -> list[str]:
+    return tokens(text)
 
 
 def residue(articles: DataFrame) -> DataFrame:
     """article_id, passage, reason: passages that are template residue, filler, an error page or a script notice.
 
-    One narrow pass counts the passage frequencies of the exemplars' words over all articles and retrieves passages
+    One narrow pass counts the passage frequencies of the exemplars' tokens over all articles and retrieves passages
     through an inverted index of the exemplars. Those are scored: the exemplar's TF-IDF weight a passage contains, and the
-    share of its own words the exemplar covers. A passage with a template mark counts unless it contains a report on such marks. Null or empty titles and
-    summaries have no passages; a null article_id keeps its rows.
+    share of the window that the exemplar covers: of the whole passage, or, for an exemplar of a template mark, of the mark
+    itself. A mark in a passage that contains a report on such marks is none. Null or empty titles and summaries have no
+    passages; a null article_id keeps its rows.
     """
     spark = articles.sparkSession
     scan = work_table(spread(articles.select("article_id", "title", "summary")).mapInArrow(_scan, "word string, n long, article_id long, passage string, marked boolean"), "residue")
     df = {r["word"]: r["n"] for r in scan.filter("word is not null").groupBy("word").agg(F.sum("n").alias("n")).collect()}  # one row per word of the exemplars
-    found = scan.filter("passage is not null").select("article_id", "passage", "marked", _passage_words("passage", "marked").alias("words"))
+    found = scan.filter("passage is not null").select("article_id", "passage", "marked", _passage_tokens("passage").alias("words"))
     found = work_table(found, "retrieved")
     table = spark.createDataFrame(weighted(df, df.get("", 0)), "exemplar int, kind string, core array<string>, cover array<string>, weight map<string,double>, whole double")
     index = table.select("exemplar", F.explode(F.array_union("core", "cover")).alias("word"))
@@ -313,12 +329,12 @@ def residue(articles: DataFrame) -> DataFrame:
     hits = F.size(F.filter("words", lambda w: F.array_contains(F.col("core"), w)))
     scored = scored.select("article_id", "passage", "marked", "kind", inside.alias("inside"), covered.alias("covered"), hits.alias("hits"))
     filled = (F.col("kind") == "words") & (F.col("covered") >= FILLED) & ((F.col("hits") >= 2) | (F.col("covered") == 1))
-    said = ~F.col("kind").isin("words", "report") & (F.col("inside") >= CONTAINED - 1e-9) & (F.col("covered") >= COVERED)
-    plain = scored.filter(filled | said).select("article_id", "passage", F.when(F.col("kind") == "words", "filler").otherwise(F.col("kind")).alias("reason"))
-    news = scored.filter((F.col("kind") == "report") & F.col("marked") & (F.col("inside") >= REPORTED)).select("article_id", "passage").distinct()
-    marks = found.filter("marked").select("article_id", "passage").distinct()
-    unfilled = marks.join(news, ["passage", "article_id"], "left_anti").select("article_id", "passage", F.lit("mark").alias("reason"))
-    return plain.unionByName(unfilled).distinct()
+    window = F.when(F.col("kind") == "mark", 1.0).otherwise(F.col("covered"))  # a mark is a window of its own
+    said = ~F.col("kind").isin("words", "report") & (F.col("inside") >= CONTAINED - 1e-9) & (window >= COVERED)
+    cases = scored.filter(filled | said).select("article_id", "passage", F.when(F.col("kind") == "words", "filler").otherwise(F.col("kind")).alias("reason"))
+    news = scored.filter((F.col("kind") == "report") & F.col("marked") & (F.col("inside") >= REPORTED)).select(F.col("article_id").alias("_id"), F.col("passage").alias("_news")).distinct()
+    reported = (F.col("reason") == "mark") & F.col("article_id").eqNullSafe(F.col("_id")) & (F.col("passage") == F.col("_news"))
+    return cases.join(news, reported, "left_anti").distinct()
 
 
 def residue_articles(articles: DataFrame) -> DataFrame:

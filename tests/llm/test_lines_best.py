@@ -37,7 +37,7 @@ def test_counts_merge_and_crossings(spark):
     assert rows(merged.na.fill(0)) == rows(both.na.fill(0))
     up, down = lines.crossed(before, merged)
     assert up.count() == 1 and down.count() == 0
-    found = lines.repeated_lines(b, history=before)
+    found = lines.folded(lines.folded(None, a)[0], b)[1]
     assert [r["summary"] for r in lines.without_lines(b, found).collect()] == [""] * 6
 
 
