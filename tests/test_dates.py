@@ -88,3 +88,20 @@ def test_calendar_days_and_periods(spark):
             resolve_period(**bad)
     rows = spark.createDataFrame([("1130405",), ("20240405",), ("2024/4/5",), ("113-4-5",), ("2024-13-01",), ("x",), (None,)], "d string")
     assert [str(r[0]) for r in rows.select(calendar_day_column(F.col("d"))).collect()] == ["2024-04-05"] * 4 + ["None"] * 3
+
+
+def test_hidden_formats_are_recovered_from_the_mixture(spark):
+    """Sources whose order of day and month is declared wrongly: the days above twelve give it away."""
+    rows, truth = [], {}
+    for k, (source, pattern) in enumerate((("dmy", "{d:02d}/{m:02d}/2022"), ("mdy", "{m:02d}/{d:02d}/2022"))):
+        for i in range(120):
+            d, m = 1 + i % 28, 1 + i % 12
+            rows.append((1000 * k + i, source, pattern.format(d=d, m=m), "UTC"))
+            truth[1000 * k + i] = (d, m)
+    candidates = spark.createDataFrame(rows, "candidate_id long, source_id string, raw_value string, timezone string")
+    wrong = spark.createDataFrame([("dmy", "UTC", [], "MDY"), ("mdy", "UTC", [], "DMY")], "id string, timezone string, date_formats array<string>, date_order string")
+    strict = normalised_dates(candidates, wrong).filter("utc_micros is not null")
+    got = normalised_dates(candidates, wrong, decide_above=0.8, doubt=0.6).select("candidate_id", F.from_unixtime(F.col("utc_micros") / 1_000_000, "d").cast("int").alias("d"), F.from_unixtime(F.col("utc_micros") / 1_000_000, "M").cast("int").alias("m")).collect()
+    right = sum((r["d"], r["m"]) == truth[r["candidate_id"]] for r in got) / len(truth)
+    trusted = strict.select("candidate_id", F.from_unixtime(F.col("utc_micros") / 1_000_000, "d").cast("int").alias("d")).collect()
+    assert right > 0.95 > sum(r["d"] == truth[r["candidate_id"]][0] for r in trusted) / len(truth)
