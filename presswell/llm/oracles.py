@@ -11,16 +11,27 @@ TITLE = r"regexp_replace(" + FOLD + r", '[^\p{{L}}\p{{N}}]+', '', 'g')"
 LETTERS = r"regexp_replace(" + FOLD + r", '[^\p{{L}}]+', '', 'g')"
 
 
-def _copies() -> str:
+def _forms() -> str:
+    """CTE c: article_id and the parts of url and title that decide whether two articles are copies."""
     u = FOLD.format(STRIP.format("url"))
     return rf"""WITH a AS (SELECT article_id, {TITLE.format("title")} AS t, {u} AS u FROM articles),
       b AS (SELECT article_id, t, regexp_extract(u, '^[^#]*') AS body, regexp_extract(u, '#(.*)$', 1) AS frag FROM a WHERE t <> '' AND u <> ''),
       c AS (SELECT article_id, t, frag, regexp_extract(body, '^([a-z][a-z0-9+.-]*:)?') AS scheme, regexp_replace(regexp_extract(body, '^[^?]*'), '^([a-z][a-z0-9+.-]*:)?//', '') AS rest,
-        array_to_string(list_sort(list_filter(string_split(regexp_extract(body, '\?(.*)$', 1), '&'), lambda p: p <> '')), '&') AS q FROM b),
-      k AS (SELECT article_id, min(article_id) OVER (PARTITION BY t, scheme, regexp_replace(regexp_replace(rest, '/{{2,}}', '/', 'g'), '/+$', ''), q, frag) AS kept_id FROM c)
+        array_to_string(list_sort(list_filter(string_split(regexp_extract(body, '\?(.*)$', 1), '&'), lambda p: p <> '')), '&') AS q FROM b)"""
+
+
+PATH = "regexp_replace(regexp_replace(rest, '/{2,}', '/', 'g'), '/+$', '')"
+
+
+def _copies() -> str:
+    return f"""{_forms()}, k AS (SELECT article_id, min(article_id) OVER (PARTITION BY t, scheme, {PATH}, q, frag) AS kept_id FROM c)
       SELECT DISTINCT kept_id, article_id FROM k WHERE article_id > kept_id"""
 
 
+def _counts() -> str:
+    return f"""{_forms()} SELECT min(article_id) AS kept_id, count(*) AS copies FROM c GROUP BY t, scheme, {PATH}, q, frag UNION ALL SELECT article_id, 1 FROM articles WHERE article_id NOT IN (SELECT article_id FROM c)"""
+
+
 def _pages() -> str:
     """article_id, batch_no, source_id and the parts that decide whether two addresses mean one page."""
     idle = f"^(?:(?:{TRACKING})(?:=.*)?|(?:{VIEW_KEYS})(?:=.*)?|(?:{VIEW_CHOICE})=(?:{VIEW_VALUES}))?$"
@@ -78,5 +89,11 @@ SPANS = """WITH w AS (SELECT DISTINCT doc_id, hash(substring(text, i, 200)) AS h
   SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM v a JOIN v b ON a.h = b.h AND a.doc_id < b.doc_id"""
 
 
+#: Documents with their class of equal texts, its size, and the number of other texts that share a stretch.
+CLASSES = f"""WITH p AS ({SPANS}), k AS (SELECT DISTINCT doc_id, text, min(doc_id) OVER (PARTITION BY CASE WHEN length(text) >= 200 THEN text ELSE CAST(doc_id AS VARCHAR) END, length(text) >= 200) AS class_id FROM documents),
+  l AS (SELECT class_id, count(DISTINCT other) AS links FROM (SELECT a.class_id, b.class_id AS other FROM p JOIN k a ON a.doc_id = doc_a JOIN k b ON b.doc_id = doc_b UNION ALL SELECT b.class_id, a.class_id FROM p JOIN k a ON a.doc_id = doc_a JOIN k b ON b.doc_id = doc_b) WHERE class_id <> other GROUP BY class_id)
+  SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS members, coalesce(links, 0) AS links FROM k LEFT JOIN l USING (class_id)"""
+
+
 def llm_oracles() -> dict[str, str]:
-    return {"p2_found": _history(), "p4_found": _copies(), "p6_found": LINES, "p7_found": _best(), "p10_found": SPANS}
+    return {"p2_found": _history(), "p4_found": _copies(), "p4_counts": _counts(), "p10_classes": CLASSES, "p6_found": LINES, "p7_found": _best(), "p10_found": SPANS}

@@ -28,6 +28,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return copies.copy_members(read_table(spark, d, "articles"))
 
 
+def p4_counts(spark: SparkSession, d: str) -> DataFrame:
+    return copies.collapsed(read_table(spark, d, "articles"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     articles = read_table(spark, d, "articles")
     return langid.mislabelled(articles).join(residue.residue_articles(articles), "article_id", "left_anti")
@@ -65,6 +69,10 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_pairs(read_table(spark, d, "documents"))
 
 
+def p10_classes(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_classes(read_table(spark, d, "documents"))
+
+
 def p10_coverage(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_coverage(read_table(spark, d, "documents"))
 

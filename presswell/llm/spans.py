@@ -158,11 +158,8 @@ def _verified(meetings: DataFrame, texts: DataFrame, reach: int) -> DataFrame:
     return grown.filter(F.col("length") >= LENGTH).distinct()
 
 
-def shared_pairs(documents: DataFrame, hot: int = HOT) -> DataFrame:
-    """doc_a, doc_b of all documents that share a stretch, equal texts included; doc_a < doc_b.
-
-    The pairs of a class of equal texts, and of two such classes, are written out because that is the result's form.
-    """
+def _linked(documents: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
+    """The classes of equal texts (rep, doc_id), and the pairs (a, b) of different texts, by representative, that share a stretch."""
     docs = documents.filter(F.col("doc_id").isNotNull())
     classes = work_table(text_classes(docs), "classes")
     shared = shared_stretches(docs, hot, DECIDE)
@@ -170,7 +167,16 @@ def shared_pairs(documents: DataFrame, hot: int = HOT) -> DataFrame:
     if shared.windows is not None:
         once = shared.windows.select("key", "doc").distinct()
         pairs = pairs.unionByName(once.alias("x").join(once.alias("y"), "key").filter("x.doc < y.doc").select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")))
-    pairs = pairs.distinct()
+    return classes, pairs.distinct()
+
+
+def shared_pairs(documents: DataFrame, hot: int = HOT) -> DataFrame:
+    """doc_a, doc_b of all documents that share a stretch, equal texts included; doc_a < doc_b.
+
+    The pairs of a class of equal texts, and of two such classes, are written out because that is the result's form;
+    shared_classes gives the same without expanding copies.
+    """
+    classes, pairs = _linked(documents, hot)
     # a class of one member is its own representative
     of = lambda side: classes.select(F.col("rep").alias(side), F.col("doc_id").alias(f"{side}_member"))
     wide = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_member", "a").alias("x"), F.coalesce("b_member", "b").alias("y"))
@@ -178,6 +184,17 @@ def shared_pairs(documents: DataFrame, hot: int = HOT) -> DataFrame:
     return wide.filter("x != y").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).unionByName(equal).distinct()
 
 
+def shared_classes(documents: DataFrame, hot: int = HOT) -> DataFrame:
+    """doc_id, class_id, members, links: of every document the lowest doc_id with its text, how many have that text, and how
+    many other texts share a stretch with it. Copies are not expanded into pairs. A null doc_id has no row.
+    """
+    classes, pairs = _linked(documents, hot)
+    links = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("links"))
+    sizes = classes.groupBy(F.col("rep").alias("class_id")).agg(F.count(F.lit(1)).alias("members"))
+    own = documents.filter("doc_id is not null").select("doc_id").distinct().join(classes, "doc_id", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("class_id"))
+    return own.join(sizes, "class_id", "left").join(links, "class_id", "left").select("doc_id", "class_id", F.coalesce("members", F.lit(1)).alias("members"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def shared_coverage(documents: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_chars, shared_chars, share: how much of each document stands in other documents too.
 

@@ -89,3 +89,10 @@ def test_names_do_not_depend_on_the_surroundings():
         _, place, key = rc.anchors([t])
         sets.append({k for p, k in zip(place, key, strict=True)})
     assert len(sets[0] & sets[1]) >= 5
+
+
+def test_classes_do_not_expand_copies(spark):
+    part = "".join(chr(97 + (i * i + 3 * i) % 26) for i in range(260))
+    docs = [(1, part + " first ending"), (2, part + " first ending"), (3, "another beginning " + part), (4, "nothing shared here " * 12), (5, None), (6, ""), (None, part)]
+    got = sorted(tuple(r) for r in spans.shared_classes(spark.createDataFrame(docs, "doc_id long, text string")).select("doc_id", "class_id", "members", "links").collect())
+    assert got == [(1, 1, 2, 1), (2, 1, 2, 1), (3, 3, 1, 1), (4, 4, 1, 0), (5, 5, 1, 0), (6, 6, 1, 0)]
