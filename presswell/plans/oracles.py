@@ -283,6 +283,6 @@ def core_oracles() -> dict[str, str]:
         "error_codes": "SELECT CASE WHEN event_type = 'purchase' THEN '' WHEN event_type = 'error' THEN 'ROBOTS_DENIED' WHEN value < 10 THEN 'HTTP_CHALLENGE' WHEN value >= 50 THEN 'PARSE_EMPTY' ELSE 'FETCH_FAILED' END AS code, count(*) AS n FROM events GROUP BY 1",
         "source_pages": """SELECT source_id, CAST(row_number() OVER (PARTITION BY source_id ORDER BY k) - 1 AS INTEGER) AS pos, url FROM (SELECT source_id, url, min(k) AS k FROM (
           SELECT id AS source_id, unnest(u) AS url, generate_subscripts(u, 1) AS k FROM (SELECT id, CASE WHEN critical THEN [homepage || '/2022', homepage || '/2021'] ELSE [listing_url] END || list_transform(range(1, coalesce(max_pages, 1)), lambda n: homepage || '/p' || n) AS u FROM sources)) WHERE url IS NOT NULL AND url <> '' GROUP BY ALL)""",
-        "list_order": """SELECT a.source_id, stage, fetched_via, (s * 1048576 + row_number() OVER (PARTITION BY a.source_id ORDER BY stage, fetched_via)) * 1048576 + 1 AS place, n FROM (SELECT source_id, batch_no % 2 AS stage, coalesce(fetched_via, '') AS fetched_via, count(*) AS n FROM articles GROUP BY ALL) a
+        "list_order": """SELECT a.source_id, stage, fetched_via, (s * 1048576 + row_number() OVER (PARTITION BY a.source_id ORDER BY stage, fetched_via)) * 1048576 + n - 1 AS place, n FROM (SELECT source_id, batch_no % 2 AS stage, coalesce(fetched_via, '') AS fetched_via, count(*) AS n FROM articles GROUP BY ALL) a
           JOIN (SELECT id, row_number() OVER (ORDER BY lower(id), id) AS s FROM sources) ON id = a.source_id""",
     }

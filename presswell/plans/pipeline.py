@@ -41,14 +41,17 @@ def in_list_order(items: DataFrame, sources: DataFrame) -> DataFrame:
     """items with article_id, their place in the list of a run: by source, stage and page, then position on the page.
 
     The order of the sources is their column ord, else that of their ids. Places leave gaps, so nothing is numbered over
-    all items: only sources and pages, both small, are. A page's places lie within one run of the entity windows.
+    all items: sources and pages are, and the items of each page; a page that was landed twice has all its items one after
+    the other, so places are unique. They lie within one run of the entity windows.
     """
     stage = items if "stage" in items.columns else items.withColumn("stage", F.lit(0))
     by = "ord" if "ord" in sources.columns else "lower(id), id"
     at = sources.select(F.col("id").alias("source_id"), F.expr(f"row_number() over (order by {by})").alias("_s")).dropDuplicates(["source_id"])
     pages = stage.select("source_id", "stage", "fetched_via").distinct().withColumn("_p", F.expr("row_number() over (partition by source_id order by stage, fetched_via)"))
     placed = stage.join(at, "source_id").join(pages, ["source_id", "stage", "fetched_via"])
-    return placed.withColumn("article_id", (F.col("_s").cast("long") * (1 << 20) + F.col("_p")) * (1 << 20) + F.col("pos")).drop("_s", "_p")
+    ties = [c for c in ("url", "title") if c in items.columns]
+    placed = placed.withColumn("_i", F.expr(f"row_number() over (partition by source_id, stage, fetched_via order by {', '.join(['pos', *ties])}) - 1"))
+    return placed.withColumn("article_id", (F.col("_s").cast("long") * (1 << 20) + F.col("_p")) * (1 << 20) + F.col("_i")).drop("_s", "_p", "_i")
 
 
 def dated(items: DataFrame, sources: DataFrame) -> DataFrame:

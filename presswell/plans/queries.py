@@ -421,7 +421,7 @@ def _feed_pages(rows: DataFrame, date: Column) -> DataFrame:
     text = lambda c: _escaped(_escaped(F.col(c)))
     item = F.concat(F.lit("<item><title>"), text("title"), F.lit("</title><link>"), _escaped(F.col("url")), F.lit("</link><pubDate>"), date, F.lit("</pubDate><description>"), text("summary"), F.lit("</description></item>"))
     pages = _pages(rows, item, "items", "https://feed.example/rss")
-    return pages.select("source_id", "url", F.concat(F.lit("<rss version='2.0'><channel><title>f</title>"), F.array_join("items", ""), F.lit("</channel></rss>")).alias("body"))
+    return pages.select("source_id", F.concat("url", F.lit("?page="), "page").alias("url"), F.concat(F.lit("<rss version='2.0'><channel><title>f</title>"), F.array_join("items", ""), F.lit("</channel></rss>")).alias("body"))
 
 
 def _collapsed(*names: str) -> list[Column]:
