@@ -5,8 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from presswell.functions.dates import instant, readings, zone_of
-from presswell.operators.dates import format_mixture, mixture, normalised_dates
+from presswell.operators.dates import declared_dates, format_mixture, mixture, normalised_dates
 from presswell.operators.periods import calendar_day, calendar_day_column, resolve_period
+from presswell.plans.queries import p3_found
+from presswell.tables import read_table
 
 
 def micros(*a):
@@ -105,3 +107,26 @@ def test_hidden_formats_are_recovered_from_the_mixture(spark):
     right = sum((r["d"], r["m"]) == truth[r["candidate_id"]] for r in got) / len(truth)
     trusted = strict.select("candidate_id", F.from_unixtime(F.col("utc_micros") / 1_000_000, "d").cast("int").alias("d")).collect()
     assert right > 0.95 > sum(r["d"] == truth[r["candidate_id"]][0] for r in trusted) / len(truth)
+
+
+def test_p3_found_decides_each_value_by_itself(spark, tmp_path):
+    """Declarations are certain there: no fit is run whose posteriors choose nothing, and each value is read once."""
+    candidates, sources = frames(spark)
+    signs = [(20, "signs", "03 | 04 | 2021", None), (21, "signs", "03 = 04 = 2021", None), (22, "signs", "05/06/2021", None)]
+    candidates = candidates.drop("notation").unionByName(spark.createDataFrame(signs, candidates.drop("notation").schema))
+    sources = sources.drop("language").unionByName(spark.createDataFrame([("signs", "UTC", "MDY", ["%d | %m | %Y", "%d = %m = %Y"])], sources.drop("language").schema))
+    candidates.write.parquet(str(tmp_path / "date_candidates.parquet"))
+    sources.write.parquet(str(tmp_path / "sources.parquet"))
+    found = p3_found(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan and plan.count("ArrowEvalPython") == 1
+    want = {(i, at) for i, _, _, _, at in ROWS if at is not None} | {(20, micros(2021, 4, 3)), (21, micros(2021, 4, 3)), (22, micros(2021, 5, 6))}
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_declared_dates_are_those_of_a_fit_without_doubt(spark, data):
+    candidates, sources = read_table(spark, data, "date_candidates"), read_table(spark, data, "sources")
+    fitted = normalised_dates(candidates, sources).select(*candidates.columns, "utc_micros")
+    declared = declared_dates(candidates, sources)
+    assert declared.columns == fitted.columns and declared.filter("utc_micros is not null").count() > 0
+    assert declared.exceptAll(fitted).isEmpty() and fitted.exceptAll(declared).isEmpty()
